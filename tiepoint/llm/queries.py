@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiepoint.llm import bpe, language, mixing, quality, simhash
+from tiepoint.llm import bpe, language, mixing, quality, simhash, spotsigs, topk
 from tiepoint.llm.common import read_table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,9 +41,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+QUERIES = (op1_spotsigs, op4_language_id, op5_simhash, op6_topk, op8_bpe, op9_mixing, op10_quality)
+
+
 def queries() -> dict:
-    return {"op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op6_topk": topk.top_k_sql()}
