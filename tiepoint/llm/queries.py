@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiepoint.llm import bpe, language, mixing, quality, simhash, spotsigs, topk
+from tiepoint.llm import bpe, html_blocks, language, mixing, quality, simhash, spotsigs, topk
 from tiepoint.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_spotsigs, op4_language_id, op5_simhash, op6_topk, op8_bpe, op9_mixing, op10_quality)
+QUERIES = (op1_spotsigs, op4_language_id, op5_simhash, op6_topk, op7_html, op8_bpe, op9_mixing, op10_quality)
 
 
 def queries() -> dict:
