@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiepoint.llm import bpe, html_blocks, language, mixing, quality, simhash, spotsigs, topk
+from tiepoint.llm import bpe, html_blocks, language, linededup, mixing, ngram_lm, quality, simhash, spotsigs, topk
 from tiepoint.llm.common import read_table
 
 
@@ -14,6 +14,18 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(read_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the lines that it loses, and a digest of the text that is left."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = linededup.dedup_lines(docs)
+    lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    return left.select("doc_id", lines.cast("long").alias("lines_left"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_spotsigs, op4_language_id, op5_simhash, op6_topk, op7_html, op8_bpe, op9_mixing, op10_quality)
+QUERIES = (op1_spotsigs, op2_lm_score, op3_line_dedup, op4_language_id, op5_simhash, op6_topk, op7_html, op8_bpe, op9_mixing, op10_quality)
 
 
 def queries() -> dict:
