@@ -1,0 +1,82 @@
+"""Keypoints and descriptors of tiled planes.
+
+Corners of the structure tensor, the strongest per product, described by gradient
+histograms (float) or by fixed brightness comparisons (binary, packed in words). A tile
+finds its own corners with borders from its neighbours, so tiles leave no seams.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tiepoint.operators.tiles import SIZE, SOBEL_X, correlate, with_borders
+
+REACH = 12
+#: Share of the strongest corner's response that a corner must have in its tile.
+QUALITY = 0.005
+_SCHEMA = "product_id string, x float, y float, response double, desc array<double>, bits array<bigint>"
+_PAIRS = np.random.default_rng(26).integers(-9, 10, (256, 4))
+
+
+def _describe(gx: np.ndarray, gy: np.ndarray, y: int, x: int) -> np.ndarray:
+    """4 x 4 histograms of 8 gradient directions around a point, of unit length, large entries damped."""
+    a, b = gx[y - 8 : y + 8, x - 8 : x + 8], gy[y - 8 : y + 8, x - 8 : x + 8]
+    size, turn = np.hypot(a, b), np.floor((np.arctan2(b, a) + np.pi) * (8 / (2 * np.pi))).astype(int) % 8
+    cell = (np.arange(16) // 4)[:, None] * 4 + (np.arange(16) // 4)[None, :]
+    d = np.bincount((cell * 8 + turn).ravel(), size.ravel(), minlength=128)
+    d = np.minimum(d / (np.linalg.norm(d) + 1e-9), 0.2)
+    return d / (np.linalg.norm(d) + 1e-9)
+
+
+def extract(tiles: DataFrame, most: int = 6000, size: int = SIZE, mask: bool = True) -> DataFrame:
+    """``product_id, kp_id, x, y, response, desc, bits``: the ``most`` strongest corners of every product.
+
+    Planes are 8-bit; with ``mask``, points whose surroundings are all 0 (unusable) are left out.
+    """
+
+    def kernel(field: np.ndarray, key: dict) -> pa.Table:
+        r = REACH + 2
+        gx, gy = (np.pad(correlate(field, k), 1) for k in (SOBEL_X, SOBEL_X.T))
+        box = np.ones((5, 5))
+        xx, yy, xy = (np.pad(correlate(g, box), 2) for g in (gx * gx, gy * gy, gx * gy))
+        weakest = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
+        inner = weakest[r - 1 : weakest.shape[0] - r + 1, r - 1 : weakest.shape[1] - r + 1]
+        own = inner[1:-1, 1:-1]
+        peak = own > max(1e-6, QUALITY * float(own.max(initial=0)))
+        for dy in range(3):
+            for dx in range(3):
+                if (dy, dx) != (1, 1):
+                    other = inner[dy : dy + own.shape[0], dx : dx + own.shape[1]]
+                    peak &= own > other if (dy, dx) < (1, 1) else own >= other
+        ys, xs = np.nonzero(peak)
+        smooth = np.pad(correlate(field, np.ones((5, 5)) / 25), 2)
+        rows = []
+        for y, x in zip(ys.tolist(), xs.tolist(), strict=True):
+            gy0, gx0 = y + key["ty"] * size, x + key["tx"] * size
+            if not (REACH <= gy0 < key["full_h"] - REACH and REACH <= gx0 < key["full_w"] - REACH):
+                continue
+            fy, fx = y + r, x + r
+            if mask and not field[fy - 1 : fy + 2, fx - 1 : fx + 2].any():
+                continue
+            # a parabola through the neighbours places the corner between pixels
+            w = weakest[fy - 1 : fy + 2, fx - 1 : fx + 2]
+            bend = [w[1, 0] - 2 * w[1, 1] + w[1, 2], w[0, 1] - 2 * w[1, 1] + w[2, 1]]
+            move = [float(np.clip(0.5 * (p - q) / b, -0.5, 0.5)) if abs(b) > 1e-8 else 0.0 for p, q, b in zip((w[1, 0], w[0, 1]), (w[1, 2], w[2, 1]), bend, strict=True)]
+            bits = smooth[fy + _PAIRS[:, 0], fx + _PAIRS[:, 1]] < smooth[fy + _PAIRS[:, 2], fx + _PAIRS[:, 3]]
+            rows.append((key["product_id"], gx0 + move[0], gy0 + move[1], float(own[y, x]), _describe(gx, gy, fy, fx), np.packbits(bits).view(np.int64)))
+        types = [pa.string(), pa.float32(), pa.float32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("product_id", "x", "y", "response", "desc", "bits"), cols, types, strict=True)})
+
+    found = with_borders(tiles, kernel, _SCHEMA, REACH + 2, size)
+    order = Window.partitionBy("product_id").orderBy(F.desc("response"), "y", "x")
+    return found.withColumn("kp_id", F.row_number().over(order).cast("long")).where(F.col("kp_id") <= most)
+
+
+def spaced(keypoints: DataFrame, apart: float) -> DataFrame:
+    """The strongest keypoint of every square of that side: corners that do not crowd."""
+    cell = Window.partitionBy("product_id", F.floor(F.col("y") / apart), F.floor(F.col("x") / apart)).orderBy(F.desc("response"), "kp_id")
+    return keypoints.withColumn("nth", F.row_number().over(cell)).where("nth = 1").drop("nth")
