@@ -22,10 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiepoint.llm.common import bound_batches
+
 #: Fixed value: how byte-level vocabularies cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encoding a task remembers; then it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of a word up to which failing words are merged together in numpy; longer ones go one by one.
+TOGETHER = 64
 NEVER = np.int64(1 << 40)
 
 
@@ -56,6 +60,7 @@ class Codec:
         for t, i in special.items():
             self.bytes_of[i] = t.encode()
         self.text_of = [str(i) for i in range(size)]
+        self._numbers = list(range(size))  # one object for each id
         self.byte_id = {raw[t][0]: i for t, i in vocab.items() if len(raw[t]) == 1}
         #: how each token was made: its parts and the merge's rank (-1: a byte; NEVER: by no merge)
         self.left, self.right = np.arange(size), np.arange(size)
@@ -70,6 +75,10 @@ class Codec:
         keys = sorted((x << 32 | y, rank) for (x, y), (rank, _) in self.merges.items())
         self._keys = np.array([k for k, _ in keys] or [-1], np.int64)
         self._ranks = np.array([r for _, r in keys] or [NEVER], np.int64)
+        self._made = np.zeros(len(file["model"]["merges"]) + 1, np.int64)
+        for rank, made in self.merges.values():
+            self._made[rank] = made
+        self._of_byte = np.array([self.byte_id[b] for b in range(256)], np.int64)
         self._sound = self._soundness()
         self._automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
@@ -135,6 +144,47 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
         return tuple(t for t in ids if t >= 0)
 
+    def merge_together(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The same for many words at once: each round takes every word's first merge of the lowest rank."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self._of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        ranks = np.full(len(ids), NEVER)
+        inner = np.nonzero(owner[1:] == owner[:-1])[0]
+        ranks[inner] = self._merge_rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
+            ends = np.append(starts[1:], len(ids))
+            best = np.minimum.reduceat(ranks, starts)
+            done = best == NEVER
+            if done.any():
+                flat = list(map(self._numbers.__getitem__, ids.tolist()))
+                for w, a, b in zip(owner[starts[done]].tolist(), starts[done].tolist(), ends[done].tolist(), strict=True):
+                    out[w] = tuple(flat[a:b])
+                left = np.repeat(~done, ends - starts)
+                ids, owner, ranks = ids[left], owner[left], ranks[left]
+                best, sizes = best[~done], (ends - starts)[~done]
+                if not len(ids):
+                    break
+            else:
+                sizes = ends - starts
+            hits = np.nonzero(ranks == np.repeat(best, sizes))[0]
+            hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
+            ids[hits] = self._made[ranks[hits]]
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            at = (np.cumsum(keep) - 1)[hits]
+            ids, owner, ranks = ids[keep], owner[keep], ranks[keep]
+            ranks[at] = NEVER
+            right = at[(at + 1 < len(ids))]
+            right = right[owner[right] == owner[right + 1]]
+            ranks[right] = self._merge_rank(ids[right], ids[right + 1])
+            before = at[at > 0] - 1
+            before = before[owner[before] == owner[before + 1]]
+            ranks[before] = self._merge_rank(ids[before], ids[before + 1])
+        return out
+
     def learn(self, words: list[str]) -> int:
         """Encodes words into memory; returns how many had to be merged exactly."""
         if not words:
@@ -152,9 +202,11 @@ class Codec:
         fits = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[inverse]
         good[owner[near[~fits]]] = False
         starts = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
-        flat = ids.tolist()
-        for w, a, b, g, r in zip(words, starts, starts[1:], good.tolist(), raw, strict=False):
-            self._known[w] = tuple(flat[a:b]) if g else self.merge_exactly(r)
+        flat = list(map(self._numbers.__getitem__, ids.tolist()))
+        short = [i for i in np.nonzero(~good)[0].tolist() if lengths[i] <= TOGETHER]
+        merged = dict(zip(short, self.merge_together([raw[i] for i in short]), strict=True))
+        for i, (w, a, b, g) in enumerate(zip(words, starts, starts[1:], good.tolist(), strict=False)):
+            self._known[w] = tuple(flat[a:b]) if g else merged[i] if i in merged else self.merge_exactly(raw[i])
         return int((~good).sum())
 
     def _parts(self, text: str) -> list[str]:
@@ -185,15 +237,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = Codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            counts, of_ids, of_text, kept = [], [], [], []
-            for group in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(1).slice(group, 200).to_pylist()]
-                for ids in codec.encode_batch(texts):
-                    counts.append(len(ids))
-                    of_ids.append(sha(",".join(map(codec.text_of.__getitem__, ids))))
-                    of_text.append(sha(codec.decode(ids)))
-                    if with_ids:
-                        kept.append(np.array(ids, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])], [f.split()[0] for f in fields.split(", ")])
-
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                cols = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array((sha(",".join(map(codec.text_of.__getitem__, i))) for i in ids), pa.string()), pa.array((sha(codec.decode(i)) for i in ids), pa.string())]
+                if with_ids:
+                    cols.append(pa.array([np.array(i, np.int32) for i in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields.split(", ")])
+
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiepoint.llm.common import bound_batches
+
 PATH_DIMS, WORD_DIMS, MEASURES = 128, 32, 8
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 20
@@ -413,5 +415,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
                 texts += main_text([t or "" for t in batch.column(2).slice(at, 256).to_pylist()], labeller)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     return pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import materialise, remainder
+from tiepoint.llm.common import bound_batches, materialise, remainder
 
 SHARE = 5e-5
 #: A language keeps a trigram only if its share there is this part of the largest share in any language.
@@ -138,6 +138,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share
                 counts = np.bincount(at, np.concatenate([c for _, c in parts[n]]), minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts)

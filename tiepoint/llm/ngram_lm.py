@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import checkpoint_dir, remainder
+from tiepoint.llm.common import bound_batches, checkpoint_dir, remainder
 
 #: Taken off each n-gram's count for the words that did not follow.
 DISCOUNT = 0.75
@@ -382,6 +382,7 @@ class Reader:
 def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) -> Model:
     """Counts all words and pairs of all rows, and writes the trie to the session's shared folder."""
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = f"{checkpoint_dir(spark)}/ngram-{uuid.uuid4().hex}"
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import materialise, remainder
+from tiepoint.llm.common import bound_batches, materialise, remainder
 
 #: Weight of the diagonal in a class covariance.
 SHRINKAGE = 0.1
@@ -71,6 +71,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows = [statistics_of(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
 
 
@@ -167,6 +168,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresh
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(remainder(F.col("doc_id"), folds) != 0)
     model = fit(statistics(docs, "doc_id", text_col).join(known, "doc_id"))
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
