@@ -102,3 +102,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = docs.join(p, F.col(source_col).cast("string").eqNullSafe(F.col("__plan.source")))
     copies = F.col("__plan.epochs") + F.coalesce((order_key(F.col(id_col), seed) <= F.col("__plan.cut")).cast("int"), F.lit(0))
     return joined.select(*[docs[c] for c in docs.columns], F.struct(copies.alias("copies"), F.col("__plan.source_size"), F.col("__plan.target")).alias("mix"))
+
+
+def mix_sql() -> str:
+    """The sizes, targets and taken words of ``documents`` in DuckDB's SQL.
+
+    A source's target is its weight times a common level, or its cap where that is less;
+    the level follows from the sources in the order in which they reach their caps.
+    """
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    return rf"""
+    WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+    sums AS (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY 1),
+    named AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weights} END AS w FROM sums),
+    ranked AS (SELECT *, row_number() OVER o AS nth, sum({MAX_EPOCHS} * s) OVER o - {MAX_EPOCHS} * s AS capped, sum(w) OVER o - w AS used FROM named WINDOW o AS (ORDER BY {MAX_EPOCHS} * s / w, source ROWS UNBOUNDED PRECEDING)),
+    level AS (SELECT ((SELECT sum(s) FROM sums) - capped)::DOUBLE AS rest, ((SELECT sum(w) FROM named) - used)::DOUBLE AS open FROM ranked WHERE {MAX_EPOCHS} * s >= ((SELECT sum(s) FROM sums) - capped)::DOUBLE * w / ((SELECT sum(w) FROM named) - used)::DOUBLE ORDER BY nth LIMIT 1),
+    targets AS (SELECT source, s, least({MAX_EPOCHS} * s, coalesce((SELECT rest FROM level) * w / (SELECT open FROM level), {MAX_EPOCHS} * s))::DOUBLE AS target FROM named),
+    budgets AS (SELECT *, CASE WHEN s > 0 THEN least(floor(target / s), {MAX_EPOCHS})::BIGINT ELSE 0 END AS epochs FROM targets),
+    keys AS (SELECT source, key, sum(size) AS n FROM docs GROUP BY 1, 2),
+    run AS (SELECT source, key, sum(n) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) - n / 2.0 AS middle FROM keys),
+    cuts AS (SELECT b.source, max(key) AS cut FROM budgets b JOIN run r ON r.source IS NOT DISTINCT FROM b.source WHERE b.target - b.epochs * b.s > 0 AND r.middle <= b.target - b.epochs * b.s GROUP BY 1)
+    SELECT d.doc_id, d.size, b.s AS source_size, b.target, ((b.epochs + CASE WHEN d.key <= c.cut THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+    FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN cuts c ON c.source IS NOT DISTINCT FROM b.source"""

@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op6_topk": topk.top_k_sql()}
+    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op9_mixing": mixing.mix_sql(), "op6_topk": topk.top_k_sql()}
