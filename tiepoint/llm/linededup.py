@@ -100,7 +100,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("same"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= min_words).alias("worth"))
     rows = materialise(rows.where(F.exists("worth", lambda x: x)))
     each = rows.select("key", "same", F.explode(F.arrays_zip("lines", "worth")).alias("x")).where("x.worth").select("key", "same", F.col("x.lines").alias("line"))
-    owners = each.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("line", "owner")
+    # written before the join, so that a line of very many documents can be dealt to several tasks there
+    owners = materialise(each.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("line", "owner"))
     pairs = each.join(owners, "line").where("owner < key").select("key", "same", "owner").distinct()
     earlier = rows.select(F.col("key").alias("owner"), F.col("lines").alias("earlier"))
     both = pairs.join(earlier, "owner").join(rows, ["key", "same"]).select("key", "same", "lines", "earlier", "worth")
