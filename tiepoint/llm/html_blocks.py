@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tiepoint.llm.common import bound_batches
 
-PATH_DIMS, WORD_DIMS, MEASURES = 128, 32, 8
+PATH_DIMS, WORD_DIMS, MEASURES = 384, 32, 8
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 20
-TRAINING_PAGES, EPOCHS, SEED = 480, 10, 7
+TRAINING_PAGES, EPOCHS, SEED = 1200, 14, 7
 
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -255,14 +255,16 @@ class Writer:
         return self.rng.random() < p
 
     def words(self, n: int) -> str:
-        words = [self.vocabulary[int(i)] for i in np.minimum(self.rng.zipf(1.3, n), len(self.vocabulary)) - 1]
-        words = [w + "," * self.chance(0.06) + self.odd * self.chance(self.oddness) for w in words]
-        return " ".join(words)
+        at = np.minimum(self.rng.zipf(1.3, n), len(self.vocabulary)) - 1
+        commas, odd = self.rng.random(n) < 0.06, self.rng.random(n) < self.oddness
+        return " ".join(self.vocabulary[i] + "," * c + self.odd * o for i, c, o in zip(at.tolist(), commas.tolist(), odd.tolist(), strict=True))
 
     def sentence(self, n: int) -> str:
         return self.words(n).capitalize() + self.pick(".", ".", ".", "!", "?", "")
 
     def paragraph(self) -> str:
+        if self.chance(0.15):
+            return self.sentence(int(self.rng.integers(1, 4)))
         return " ".join(self.sentence(int(self.rng.integers(1, 18))) for _ in range(int(self.rng.geometric(0.3))))
 
     def tag(self, name: str, inner: str, names: str = "") -> str:
@@ -306,7 +308,8 @@ class Writer:
 
     def page(self) -> tuple[str, list[str]]:
         """A page, and its main text's blocks."""
-        self.vocabulary = ["".join(self.rng.choice(self.syllables, int(self.rng.integers(1, 5)))) for _ in range(150)]
+        parts = self.rng.integers(len(self.syllables), size=(150, 4)).tolist()
+        self.vocabulary = ["".join(self.syllables[i] for i in p[:n]) for p, n in zip(parts, self.rng.integers(1, 5, 150).tolist(), strict=True)]
         self.shout, self.sloppy = self.chance(0.05), self.pick(0.0, 0.0, 0.3, 1.0)
         self.odd, self.oddness = self.pick("%%%", "***", "###", "&", "!!"), self.pick(0.0, 0.0, 0.0, 0.1, 0.9)
         main: list[str] = []

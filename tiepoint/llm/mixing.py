@@ -91,17 +91,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return budgets.join(edge, same("source", "s"), "left").select("source", "source_size", "target", "epochs", F.when(F.col("rest") > 0, F.col("cut")).alias("cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Every row of ``docs`` with its own columns, plus a struct ``mix`` of ``copies, source_size, target``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, name: str = "mix") -> DataFrame:
+    """Every row of ``docs`` with its own columns, plus a struct ``name`` of ``copies, source_size, target``.
 
-    Columns of ``docs`` may have any other names. Null texts have size 0; a null source
+    Columns of ``docs`` may have any names but ``name``. Null texts have size 0; a null source
     is a source of its own; equal ids tie and share their fate; an empty table stays empty.
     """
     decided = F.broadcast(materialise(plan(docs, id_col, text_col, source_col, weights, max_epochs, seed)))  # one row per source
     p = decided.select(F.struct("source", "source_size", "target", "epochs", "cut").alias("__plan"))
     joined = docs.join(p, F.col(source_col).cast("string").eqNullSafe(F.col("__plan.source")))
     copies = F.col("__plan.epochs") + F.coalesce((order_key(F.col(id_col), seed) <= F.col("__plan.cut")).cast("int"), F.lit(0))
-    return joined.select(*[docs[c] for c in docs.columns], F.struct(copies.alias("copies"), F.col("__plan.source_size"), F.col("__plan.target")).alias("mix"))
+    return joined.select(*[docs[c] for c in docs.columns], F.struct(copies.alias("copies"), F.col("__plan.source_size"), F.col("__plan.target")).alias(name))
 
 
 def mix_sql() -> str:

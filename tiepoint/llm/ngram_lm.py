@@ -298,7 +298,8 @@ class Shard:
         prefix = U((1 << shift) - 1) if shift < 64 else U(2**64 - 1)
         parts = {"nodes": EliasFano.build(nodes & prefix, 1 << shift), "next": EliasFano.build(pointers, len(w) + 1), "keys": EliasFano.build(keys, max(1, len(nodes)) << WORD_BITS)}
         arrays = {f"{k}.{a}": v for k, e in parts.items() for a, v in e.arrays().items()}
-        arrays |= {"counts": own.astype(np.min_scalar_type(int(own.max(initial=0)))), "back": quantised(back), "p": quantised((n - discount) / np.maximum(followed[at], 1))}
+        # one more entry at the end of each, so that there is something to read for words that are not found
+        arrays |= {"counts": np.append(own, 0).astype(np.min_scalar_type(int(own.max(initial=0)))), "back": quantised(np.append(back, 1.0)), "p": quantised(np.append((n - discount) / np.maximum(followed[at], 1), 0.0))}
         meta = {k: [e.n, e.low_bits] for k, e in parts.items()}
         return packed(meta, arrays), int((own > 0).sum()), int(own.sum())
 
