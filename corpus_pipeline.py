@@ -42,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    copies = mixed.where("mix.copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("mix.copies"))))
+    mixed = mixing.mix(docs, name="__mix")
+    copies = mixed.where("__mix.copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
     return copies.select(*docs.columns)
 
 
