@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.llm.common import bound_batches
@@ -396,6 +396,24 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     return model
 
 
+_WEIGHTS: dict[tuple[int, int, int], dict[str, np.ndarray]] = {}
+
+
+def trained_on(spark: SparkSession, pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+    """The model fitted in a task, where numpy has one thread; a driver fits it once."""
+    key = (pages, epochs, seed)
+    if key not in _WEIGHTS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                w = trained(*key).w
+                yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([list(map(int, v.shape)) for v in w.values()], pa.list_(pa.int32())), pa.array([v.tobytes() for v in w.values()])], ["name", "shape", "data"])
+
+        found = spark.range(1, numPartitions=1).mapInArrow(run, "name string, shape array<int>, data binary").collect()  # some 50 000 weights
+        _WEIGHTS[key] = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for r in found}
+    return Labeller(_WEIGHTS[key])
+
+
 def main_text(pages: list[str], model: Labeller) -> list[str]:
     cut = [pieces_of(p) for p in pages]
     labels = model.label([vectors_of(c) for c in cut])
@@ -408,7 +426,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
     A null or empty page, and one without main text, gives an empty text. The whole
     page is read, whatever its length; repeated rows are extracted again.
     """
-    weights = (model or trained()).w
+    weights = (model or trained_on(pages.sparkSession)).w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(weights)
