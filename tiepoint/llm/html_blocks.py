@@ -14,7 +14,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,15 +115,14 @@ def pieces_of(page: str) -> list[Piece]:
 
 
 def _slot(kind: str, what: str, size: int) -> int:
-    return zlib.crc32(f"{kind}:{what}".encode()) % size
+    return zlib.crc32(f"{kind}:{what}".encode("utf-8", "replace")) % size
 
 
-@lru_cache(maxsize=200_000)
-def _word_slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_DIMS
-
-
-def vectors_of(pieces: list[Piece]) -> np.ndarray:
+def vectors_of(pieces: list[Piece], known: dict[str, int] | None = None) -> np.ndarray:
+    """A vector for each block; ``known`` remembers words' slots from call to call."""
+    known = {} if known is None else known
+    if len(known) > 200_000:
+        known.clear()
     x = np.zeros((len(pieces), DIMS), np.float32)
     paths: dict[tuple[str, ...], list[int]] = {}
     for i, p in enumerate(pieces):
@@ -135,7 +133,10 @@ def vectors_of(pieces: list[Piece]) -> np.ndarray:
         x[i, slots] = 1
         words = p.text.lower().split()
         n = len(words)
-        np.add.at(x[i], [PATH_DIMS + _word_slot(w) for w in words[:]], np.float32(0.5 / max(1, n) ** 0.5))
+        for w in words:
+            if w not in known:
+                known[w] = _slot("word", w, WORD_DIMS)
+        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount([known[w] for w in words], minlength=WORD_DIMS) * (0.5 / max(1, n) ** 0.5)
         size = len(p.text)
         x[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(size) / 5, min(1.0, p.linked / max(1, size)), p.text.count(".") / (n + 1), p.text.count(",") / (n + 1), sum(map(str.isdigit, p.text)) / (size + 1), p.text[-1] in ".!?", i / len(pieces), n == 1)
     return x
@@ -368,7 +369,6 @@ def training_set(pages: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[np
     return out
 
 
-@lru_cache(maxsize=2)
 def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
     """The model, fitted with Adam on ``pages`` generated pages; always the same for the same arguments."""
     rng = np.random.default_rng(seed)
@@ -414,9 +414,9 @@ def trained_on(spark: SparkSession, pages: int = TRAINING_PAGES, epochs: int = E
     return Labeller(_WEIGHTS[key])
 
 
-def main_text(pages: list[str], model: Labeller) -> list[str]:
+def main_text(pages: list[str], model: Labeller, known: dict[str, int] | None = None) -> list[str]:
     cut = [pieces_of(p) for p in pages]
-    labels = model.label([vectors_of(c) for c in cut])
+    labels = model.label([vectors_of(c, known) for c in cut])
     return ["\n".join(p.text for p, keep in zip(c, y, strict=True) if keep) for c, y in zip(cut, labels, strict=True)]
 
 
@@ -429,11 +429,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
     weights = (model or trained_on(pages.sparkSession)).w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(weights)
+        labeller, known = Labeller(weights), {}
         for batch in batches:
             texts = []
             for at in range(0, batch.num_rows, 256):
-                texts += main_text([t or "" for t in batch.column(2).slice(at, 256).to_pylist()], labeller)
+                texts += main_text([t or "" for t in batch.column(2).slice(at, 256).to_pylist()], labeller, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     bound_batches(pages.sparkSession)
