@@ -1,3 +1,7 @@
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # numpy beside eight Spark threads
+
 import pytest
 from pyspark.sql import SparkSession
 

@@ -166,3 +166,13 @@ def test_tables(spark, tmp_path):
     with pytest.raises(Exception, match="direction"):
         tables.transform(spark, str(tmp_path / "u.json")).collect()
     assert tables.previous_rows(spark, str(tmp_path / "none.csv"), "pair_id string").count() == 0
+
+
+def test_image_sinks(spark, tmp_path, plane):
+    made = images.whole_images(tiles.from_pixels(pixels(spark, plane), 16), size=16)
+    for _ in range(2):  # written again, it stays as it is
+        images.write_files(made, str(tmp_path / "out"), ".png")
+    (only,) = (tmp_path / "out").iterdir()
+    assert np.array_equal(images.decode_png(only.read_bytes())[:, :, 0], plane)
+    with pytest.raises(Exception, match="pixels"):
+        images.whole_images(tiles.from_pixels(pixels(spark, plane), 16), size=16, most_pixels=10).collect()

@@ -386,7 +386,11 @@ def _planes(spark, sf_dir):
 
 _NCC = f"""{_WITH('raster')}, a AS (SELECT product_id AS pair_id, y, x, v FROM raster), b AS (SELECT pair_id, y + 1 AS y, x + 2 AS x, v FROM a WHERE y < 63 AND x < 62 UNION ALL SELECT * FROM a WHERE y < 1 OR x < 2),
 p AS (SELECT pair_id, y * 64 + x AS match_id, y, x FROM a WHERE y % 16 = 4 AND x % 16 = 4 AND x >= 10 AND x < 54 AND y >= 10 AND y < 54 AND x + 1 < 54),
-j AS (SELECT p.pair_id, p.match_id, oy AS dy, ox AS dx, a.v AS s, b.v AS r FROM p, range(-3, 4) o1(oy), range(-3, 4) o2(ox), range(-5, 6) w1(wy), range(-5, 6) w2(wx) JOIN a ON a.pair_id = p.pair_id AND a.y = p.y + wy AND a.x = p.x + wx JOIN b ON b.pair_id = p.pair_id AND b.y = p.y + oy + wy AND b.x = p.x + 1 + ox + wx),
+ps AS MATERIALIZED (SELECT pair_id, match_id, wy, wx, y + wy AS y, x + wx AS x FROM p, range(-5, 6) w1(wy), range(-5, 6) w2(wx)),
+pr AS MATERIALIZED (SELECT pair_id, match_id, ty, tx, y + ty AS y, x + 1 + tx AS x FROM p, range(-8, 9) w1(ty), range(-8, 9) w2(tx)),
+ss AS MATERIALIZED (SELECT pair_id, match_id, wy, wx, v AS s FROM ps JOIN a USING (pair_id, y, x)), rr AS MATERIALIZED (SELECT pair_id, match_id, ty, tx, v AS r FROM pr JOIN b USING (pair_id, y, x)),
+so AS MATERIALIZED (SELECT pair_id, match_id, oy AS dy, ox AS dx, wy + oy AS ty, wx + ox AS tx, s FROM ss, range(-3, 4) o1(oy), range(-3, 4) o2(ox)),
+j AS (SELECT pair_id, match_id, dy, dx, s, r FROM so JOIN rr USING (pair_id, match_id, ty, tx)),
 m AS (SELECT pair_id, match_id, dy, dx, sum(s * r) - sum(s) * sum(r) / 121 AS c, (sum(s * s) - sum(s) ** 2 / 121) * (sum(r * r) - sum(r) ** 2 / 121) AS d FROM j GROUP BY 1, 2, 3, 4),
 n AS (SELECT pair_id, match_id, dy, dx, CASE WHEN d > 1e-12 THEN c / sqrt(d) ELSE -1 END AS score FROM m)"""
 
@@ -443,3 +447,64 @@ def register_end_to_end(spark, sf_dir):
     found = registration.register(*registration.terrain(spark, names[:2]), registration.Config(geometry_model="affine"))
     moves = found["transforms"].select("pair_id", F.round(F.get("m", F.lit(2)), 0).alias("dx"), F.round(F.get("m", F.lit(5)), 0).alias("dy"))
     return found["metrics"].select("pair_id", "status", (F.col("inliers") > 30).alias("enough"), (F.col("inlier_ratio") > 0.7).alias("clean")).join(moves, "pair_id")
+
+
+@query("WITH c AS (SELECT o_orderpriority AS pair_id, o_custkey % 5 AS source_level, o_orderkey % 5 AS reference_level, count(*) AS inliers FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2, 3) SELECT pair_id, source_level, reference_level, inliers FROM c QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY inliers DESC, source_level, reference_level) = 1")
+def best_level(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'F'")
+    tried = o.groupBy(F.col("o_orderpriority").alias("pair_id"), (F.col("o_custkey") % 5).alias("source_level"), (F.col("o_orderkey") % 5).alias("reference_level")).agg(F.count("*").alias("inliers"))
+    return matches.best_level(tried)
+
+
+@query(f"{_WITH('corr')} SELECT pair_id, match_id FROM corr WHERE inlier QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY match_id) <= 300")
+def match_lines(spark, sf_dir):
+    return matches.first_inliers(view(spark, sf_dir, "corr")).select("pair_id", "match_id")
+
+
+@query(f"{_WITH('corr')} SELECT pair_id, match_id FROM corr WHERE reference_x >= 600 OR reference_y >= 500")
+def points_outside(spark, sf_dir):
+    return points.outside(view(spark, sf_dir, "corr"), "reference", 600, 500).select("pair_id", "match_id")
+
+
+@query(f"{_WITH('corr')} SELECT pair_id, match_id, source_x * 2 AS source_x, source_y * 2 AS source_y, round(reference_x * 4, 6) AS reference_x, round(reference_y * 4, 6) AS reference_y FROM corr")
+def level_rescale(spark, sf_dir):
+    return matches.rescale(view(spark, sf_dir, "corr"), (2.0, 2.0), (4.0, 4.0)).select("pair_id", "match_id", "source_x", "source_y", "reference_x", "reference_y").withColumns(r6("reference_x", "reference_y"))
+
+
+@query(f"{_WITH('raster')} SELECT a.y, a.x, cast(round_even((a.v + b.v) / 2, 0) AS int) AS v FROM raster a JOIN raster b USING (y, x) WHERE a.product_id = 'p0' AND b.product_id = 'p1'")
+def overlay_planes(spark, sf_dir):
+    px = view(spark, sf_dir, "raster")
+    return raster.overlay(px.where("product_id = 'p0'"), px.where("product_id = 'p1'"))
+
+
+@query(f"{_WITH('raster')} SELECT g.y::INT AS y, g.x::INT AS x, r.valid FROM (SELECT * FROM range(45) a(y), range(100) b(x)) g JOIN raster r ON r.product_id = 'p3' AND r.y = g.y * 64 // 45 AND r.x = g.x * 64 // 100")
+def resized_mask(spark, sf_dir):
+    return raster.resize_mask(view(spark, sf_dir, "raster").where("product_id = 'p3'").select("y", "x", "valid"), 45, 100)
+
+
+@query("SELECT n_nationkey, least(greatest(cast(round_even((n_nationkey * 300 + 100) - 10 * 5 - 100, 0) AS int), 0), 3800) AS window_x, least(greatest(cast(round_even((n_nationkey * 350 + 100) + 10 * 3 - 100, 0) AS int), 0), 8800) AS window_y FROM nation")
+def source_windows(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    m = F.array(*(F.lit(v) for v in (1.0, 0.0, 5.0, 0.0, 1.0, -3.0, 0.0, 0.0, 1.0)))
+    full, browse = (F.lit(4000), F.lit(9000)), (F.lit(400), F.lit(900))
+    x, y = geometry.source_window(m, F.col("n_nationkey") * 300, F.col("n_nationkey") * 350, F.lit(200), F.lit(200), full, full, browse, browse)
+    return n.select("n_nationkey", x.alias("window_x"), y.alias("window_y"))
+
+
+@query(f"""{_WITH('browse')} SELECT a.member AS source_member, b.member AS reference_member, round(abs(epoch_us(a.start) - epoch_us(b.start)) / 1e6, 6) AS delta FROM browse a JOIN browse b ON a.sensor_view = 'f' AND b.sensor_view = 'n' AND cast(a.start AS date) = cast(b.start AS date) AND abs(epoch_us(a.start) - epoch_us(b.start)) <= 600000000""")
+def time_band_join(spark, sf_dir):
+    b = view(spark, sf_dir, "browse").withColumn("date", F.to_date("start"))
+    side = lambda v, n: b.where(F.col("sensor_view") == v).select("date", F.col("member").alias(n), "start")
+    return pairing.time_band(side("f", "source_member"), side("n", "reference_member"), ["date"], 600.0).select("source_member", "reference_member", "delta").withColumns(r6("delta"))
+
+
+@query(f"{_WITH('metric')} SELECT DISTINCT data_level, year::INT AS year FROM metric WHERE status = 'failed' EXCEPT SELECT data_level, year::INT FROM metric WHERE selected_coverage = 1")
+def failed_without_full_coverage(spark, sf_dir):
+    m = view(spark, sf_dir, "metric")
+    return m.where("status = 'failed'").select("data_level", "year").distinct().exceptAll(m.where("selected_coverage = 1").select("data_level", "year").distinct())
+
+
+@query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda v: cast(cast(floor(v::DOUBLE * 1000) AS bigint) AS varchar)), ',')) AS pixel_sha256 FROM embeddings")
+def pixel_digest(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", F.sha2(F.array_join(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string")), ","), 256).alias("pixel_sha256"))

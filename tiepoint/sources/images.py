@@ -152,6 +152,47 @@ def read_tiles(spark: SparkSession, path: str, size: int = SIZE) -> DataFrame:
     return files.mapInArrow(run, SCHEMA + ", problem string")
 
 
+def whole_images(tiles: DataFrame, kind: str = "png", size: int = SIZE, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """``product_id, band, content``: each plane as one PNG (8 bits) or TIFF file (32-bit floats).
+
+    An image file is whole by nature; planes over ``most_pixels`` raise an error and stay tiles.
+    """
+
+    def assemble(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        h, w = rows[0]["full_h"], rows[0]["full_w"]
+        if h * w > most_pixels:
+            raise ValueError(f"more than {most_pixels} pixels")
+        out = np.zeros((h, w), np.float32)
+        for r in rows:
+            part = np.frombuffer(r["pixels"], np.float32).reshape(-1, min(size, w - r["tx"] * size))
+            out[r["ty"] * size : r["ty"] * size + len(part), r["tx"] * size : r["tx"] * size + part.shape[1]] = part
+        content = encode_png(np.clip(out, 0, 255).astype(np.uint8)) if kind == "png" else encode_tiff(out)
+        return pa.table({"product_id": table.column("product_id").slice(0, 1), "band": table.column("band").slice(0, 1), "content": pa.array([content], pa.binary())})
+
+    return tiles.groupBy("product_id", "band").applyInArrow(assemble, "product_id string, band int, content binary")
+
+
+def write_files(files: DataFrame, folder: str, suffix: str) -> None:
+    """Each row's content as a file of a mounted folder, written beside its place and renamed; existing files are kept."""
+
+    def save(rows) -> None:
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            name = "".join(c if c.isalnum() or c in "-_." else "_" for c in f"{r['product_id']}_{r['band']}")
+            target = os.path.join(folder, name + suffix)
+            if not os.path.exists(target):
+                draft = f"{target}.{uuid.uuid4().hex}"
+                with open(draft, "wb") as f:
+                    f.write(r["content"])
+                os.replace(draft, target)
+
+    files.foreachPartition(save)
+
+
 class LabelledLines(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
