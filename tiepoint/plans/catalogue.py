@@ -433,7 +433,17 @@ def xml_label_fields(spark, sf_dir):
     return o.select("o_orderkey", labels.first_value(xml, "start_date_time").alias("start_date_time"), labels.first_value(xml, "INSTRUMENT_ID", any_case=True).alias("instrument_id"))
 
 
-@query()
+_CORNERS = " UNION ALL ".join(f"SELECT product_id, y, x, valid, v::INT AS g, {'least(fy + 1, 3)' if i else 'greatest(fy, 0)'}::INT AS ty, {'least(fx + 1, 3)' if j else 'greatest(fx, 0)'}::INT AS tx, {'py - fy' if i else '1 - (py - fy)'} AS wy, {'px - fx' if j else '1 - (px - fx)'} AS wx FROM q" for i in (0, 1) for j in (0, 1))
+
+
+@query(f"""{_WITH('raster')}, n AS (SELECT product_id, (y * 4 // 64)::INT AS ty, (x * 4 // 64)::INT AS tx, v::INT AS g, count(*) AS n FROM raster GROUP BY 1, 2, 3, 4),
+e AS (SELECT p.product_id, a.ty::INT AS ty, b.tx::INT AS tx, c.g::INT AS g FROM (SELECT DISTINCT product_id FROM raster) p, range(4) a(ty), range(4) b(tx), range(256) c(g)),
+k AS (SELECT e.*, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (product_id, ty, tx, g)),
+s AS (SELECT *, sum(n) OVER t AS area, least(n, greatest(1, floor(2.0 * sum(n) OVER t / 256))) AS kept FROM k WINDOW t AS (PARTITION BY product_id, ty, tx)),
+d AS (SELECT *, (area - sum(kept) OVER (PARTITION BY product_id, ty, tx))::DOUBLE / 256 AS given FROM s),
+m AS (SELECT product_id, ty, tx, g, round_even(sum(kept + given) OVER (PARTITION BY product_id, ty, tx ORDER BY g ROWS UNBOUNDED PRECEDING) * 255 / area, 0) AS gray FROM d),
+q AS (SELECT *, floor(py) AS fy, floor(px) AS fx FROM (SELECT *, (y + 0.5::DOUBLE) * 4 / 64 - 0.5 AS py, (x + 0.5::DOUBLE) * 4 / 64 - 0.5 AS px FROM raster)), c AS ({_CORNERS})
+SELECT product_id, y, x, CASE WHEN any_value(valid) THEN round_even(least(greatest(sum(gray * wy * wx), 0), 255), 0)::INT ELSE 0 END AS v FROM c JOIN m USING (product_id, ty, tx, g) GROUP BY 1, 2, 3""")
 def clahe_planes(spark, sf_dir):
     return raster.clahe(view(spark, sf_dir, "raster"), tiles=4).select("product_id", "y", "x", "v")
 
