@@ -21,6 +21,8 @@ WEIGHTS = (1, 2, 3)
 #: A source is repeated this many times at most.
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Up to so many sources, the table with a row for each is broadcast; beyond, it is joined as Spark sees fit.
+MOST_BROADCAST = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -78,10 +80,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     offsets = totals.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
     # only the range in which a source's budget ends has to be read row by row
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    b = F.broadcast(budgets.select(F.col("source").alias("s"), "rest"))  # one row per source
+    small = F.broadcast if len(found) <= MOST_BROADCAST else lambda df: df
+    b = small(budgets.select(F.col("source").alias("s"), "rest"))  # one row per source
     ends = offsets.join(b, same("source", "s")).where("offset < rest and total > 0")
     last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("slot")))
-    ends = F.broadcast(ends.withColumn("nth", last).where("nth = 1").select(F.col("source").alias("s"), F.col("slot").alias("end_slot"), "offset", "rest"))
+    ends = small(ends.withColumn("nth", last).where("nth = 1").select(F.col("source").alias("s"), F.col("slot").alias("end_slot"), "offset", "rest"))
     inside = ranged.join(ends, same("source", "s") & (F.col("slot") == F.col("end_slot")))
     running = F.sum("size").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
     per_key = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("offset").alias("offset"), F.first("rest").alias("rest"))
@@ -97,7 +100,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Columns of ``docs`` may have any names but ``name``. Null texts have size 0; a null source
     is a source of its own; equal ids tie and share their fate; an empty table stays empty.
     """
-    decided = F.broadcast(materialise(plan(docs, id_col, text_col, source_col, weights, max_epochs, seed)))  # one row per source
+    decided = materialise(plan(docs, id_col, text_col, source_col, weights, max_epochs, seed))  # one row per source
+    decided = F.broadcast(decided) if decided.count() <= MOST_BROADCAST else decided
     p = decided.select(F.struct("source", "source_size", "target", "epochs", "cut").alias("__plan"))
     joined = docs.join(p, F.col(source_col).cast("string").eqNullSafe(F.col("__plan.source")))
     copies = F.col("__plan.epochs") + F.coalesce((order_key(F.col(id_col), seed) <= F.col("__plan.cut")).cast("int"), F.lit(0))

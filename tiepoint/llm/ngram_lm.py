@@ -254,13 +254,15 @@ def write_shared(uri: str, data: list[bytes]) -> None:
     store.move(draft, path)
 
 
-def map_shared(uri: str) -> np.ndarray:
-    """A shared file's bytes, mapped into memory; from a remote store by way of a local copy that is already unlinked."""
+def map_shared(uri: str) -> np.ndarray | None:
+    """A shared file's bytes, mapped into memory, or None if there is no such file; from a remote store by way of a local copy that is already unlinked."""
     if (path := local_path(uri)) is not None:
-        return np.memmap(path, np.uint8, "r")
+        return np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
     from pyarrow import fs
 
     store, remote = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(remote).type != fs.FileType.File:
+        return None
     with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(remote) as f:
         while part := f.read(1 << 24):
             copy.write(part)
@@ -353,8 +355,10 @@ class Reader:
             if a < b:
                 s = int(of[a])
                 if s not in self._open:
-                    self._open[s] = Shard(map_shared(f"{self.model.folder}/shard-{s:06d}"), self.model.shift)
-                yield self._open[s], slice(a, b)
+                    raw = map_shared(f"{self.model.folder}/shard-{s:06d}")
+                    self._open[s] = None if raw is None else Shard(raw, self.model.shift)
+                if self._open[s] is not None:
+                    yield self._open[s], slice(a, b)
 
     def log10(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pair: known word or not, log10 of its base probability, log10 of its probability after the context."""
@@ -427,12 +431,9 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) -
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([n_words], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
     sums = texts.mapInArrow(count, "shard int, contexts binary, runs binary, successors binary, n binary, words binary, own binary")
-    done = sums.groupBy("shard").applyInArrow(build, "shard int, words long, tokens long").collect()  # a row per shard
-    missing = set(range(shards)) - {r["shard"] for r in done}
-    for s in missing:
-        nothing = np.zeros(0, U), np.zeros(0, np.int64)
-        write_shared(f"{folder}/shard-{s:06d}", Shard.build(shift, nothing[0], nothing[0], nothing[1], *nothing, discount)[0])
-    return Model(folder, shards, sum(r["tokens"] for r in done), sum(r["words"] for r in done))
+    # a shard without words has no file
+    done = sums.groupBy("shard").applyInArrow(build, "shard int, words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
+    return Model(folder, shards, done["tokens"] or 0, done["words"] or 0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
