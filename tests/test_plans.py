@@ -61,3 +61,18 @@ def test_stream_of_arrivals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["member"] for r in spark.sql("select * from seen").collect()) == ["m1", "m2"]
+
+
+def test_streams_are_paired_and_counted(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "f", "v", "2020-01-01 00:00:00"), ("m2", "n", "v", "2020-01-01 00:00:01"), ("m3", "n", "v", "2020-01-01 00:00:05"), ("m4", "n", "w", "2020-01-01 00:00:00"), ("late", "f", "v", "2020-01-03 00:00:00")], "member string, sensor_view string, variant string, start string").withColumn("start", F.to_timestamp("start"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = lambda v: arrivals.arrivals(spark, str(tmp_path / "in"), "member string, sensor_view string, variant string, start timestamp").where(F.col("sensor_view") == v)
+    q = arrivals.paired(seen("f"), seen("n")).writeStream.format("memory").queryName("paired").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["source_member"], r["reference_member"]) for r in spark.sql("select * from paired").collect()] == [("m1", "m2")]
+    everything = arrivals.arrivals(spark, str(tmp_path / "in"), "member string, sensor_view string, variant string, start timestamp")
+    q = arrivals.counts(everything).writeStream.format("memory").queryName("counted").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["sensor_view"], r["n"]) for r in spark.sql("select * from counted").collect()) == [("f", 1), ("n", 3)]
