@@ -76,3 +76,11 @@ def test_streams_are_paired_and_counted(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["sensor_view"], r["n"]) for r in spark.sql("select * from counted").collect()) == [("f", 1), ("n", 3)]
+
+
+def test_experiment_rows_fail_one_by_one(spark, tmp_path):
+    (tmp_path / "e.yaml").write_text("name: e\npairs: [{name: a, source: a.tif, reference: b.tif, synthetic: true}, {name: gone, source: c.tif, reference: d.tif}]\nvariants: [{name: v, parameters: {geometry_model: affine, matcher: orb, ratio: 0.85}}]\n")
+    matrix, settings = batch.experiment(spark, str(tmp_path / "e.yaml"))
+    rows = {r["pair"]: r for r in batch.run_experiment(matrix, settings, *registration.terrain(spark, ["a"], 160, 200)).collect()}
+    assert rows["a"]["status"] == "completed" and rows["a"]["inliers"] > 30 and rows["a"]["error"] is None
+    assert rows["gone"]["status"] == "failed" and rows["gone"]["error"] and rows["gone"]["inliers"] is None

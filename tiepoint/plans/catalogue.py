@@ -508,10 +508,10 @@ def time_band_join(spark, sf_dir):
     return pairing.time_band(side("f", "source_member"), side("n", "reference_member"), ["date"], 600.0).select("source_member", "reference_member", "delta").withColumns(r6("delta"))
 
 
-@query(f"{_WITH('metric')} SELECT DISTINCT data_level, year::INT AS year FROM metric WHERE status = 'failed' EXCEPT SELECT data_level, year::INT FROM metric WHERE selected_coverage = 1")
-def failed_without_full_coverage(spark, sf_dir):
+@query(f"{_WITH('metric')} SELECT DISTINCT data_level, inliers FROM metric WHERE status = 'failed' EXCEPT SELECT data_level, inliers FROM metric WHERE status = 'completed'")
+def failed_only_keys(spark, sf_dir):
     m = view(spark, sf_dir, "metric")
-    return m.where("status = 'failed'").select("data_level", "year").distinct().exceptAll(m.where("selected_coverage = 1").select("data_level", "year").distinct())
+    return m.where("status = 'failed'").select("data_level", "inliers").distinct().exceptAll(m.where("status = 'completed'").select("data_level", "inliers").distinct())
 
 
 @query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda v: cast(cast(floor(v::DOUBLE * 1000) AS bigint) AS varchar)), ',')) AS pixel_sha256 FROM embeddings")
