@@ -30,6 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 250_000
 #: Bytes of a word up to which failing words are merged together in numpy; longer ones go one by one.
 TOGETHER = 64
+#: Characters of the texts that are encoded together; a longer text goes alone, whole.
+GROUP = 300_000
 NEVER = np.int64(1 << 40)
 
 
@@ -225,6 +227,18 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > most:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row, and ``ids`` where asked for.
 
@@ -237,10 +251,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = Codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                cols = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array((sha(",".join(map(codec.text_of.__getitem__, i))) for i in ids), pa.string()), pa.array((sha(codec.decode(i)) for i in ids), pa.string())]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, to in groups(texts):
+                ids = codec.encode_batch(texts[at:to])
+                cols = [batch.column(0).slice(at, to - at), pa.array(map(len, ids), pa.int64()), pa.array((sha(",".join(map(codec.text_of.__getitem__, i))) for i in ids), pa.string()), pa.array((sha(codec.decode(i)) for i in ids), pa.string())]
                 if with_ids:
                     cols.append(pa.array([np.array(i, np.int32) for i in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields.split(", ")])
