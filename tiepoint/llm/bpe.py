@@ -45,7 +45,8 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encodes and decodes as the vocabulary file says."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         letters = byte_letters()
@@ -218,7 +219,7 @@ class Codec:
         """Ids of each whole text; strings of special tokens in a text become their ids."""
         cut = [[[p] if p in self.special else self._words.findall(p) for p in self._parts(t)] for t in texts]
         words = dict.fromkeys(chain.from_iterable(chain.from_iterable(cut)))
-        if len(words) + len(self._known) > REMEMBERED:
+        if len(words) + len(self._known) > self.remembered:
             self._known = {s: (i,) for s, i in self.special.items()}
         self.learn([w for w in words if w not in self._known])
         return [list(chain.from_iterable(map(self._known.__getitem__, chain.from_iterable(parts)))) for parts in cut]
@@ -239,16 +240,17 @@ def groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row, and ``ids`` where asked for.
 
     Null texts count as empty (no tokens); repeated rows are encoded again.
-    ``path`` names the vocabulary file on every machine.
+    ``path`` names the vocabulary file on every machine; a task remembers the encoding
+    of ``remembered`` words and learns them anew beyond, which changes no result.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(path, remembered)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

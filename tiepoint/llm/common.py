@@ -25,10 +25,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Where the session sets no limit, texts go to Python in batches of about 8 MB, however long they are."""
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Where the session sets no limit, texts go to Python in batches of about ``size`` bytes, however long they are."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -387,7 +387,7 @@ class Reader:
 def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) -> Model:
     """Counts all words and pairs of all rows, and writes the trie to the session's shared folder."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, "8m")  # n-grams are summed within a batch
     folder = f"{checkpoint_dir(spark)}/ngram-{uuid.uuid4().hex}"
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
