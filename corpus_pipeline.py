@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.llm import bpe, linededup, mixing, quality, simhash
@@ -32,12 +32,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that repeat its id, the first by their texts' hash."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    stays = simhash.near_duplicates(docs, shingle=SHINGLE).where("doc_id <=> component_id").select(key.alias("__key")).distinct()
-    rows = docs.withColumn("__key", key).join(materialise(stays), "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """One row of each group of near-duplicates, whatever the rows' ids.
+
+    It is the row with the smallest id (null: the last of all), of equal ids the one
+    with the smallest hash of its text.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
+    groups = simhash.near_duplicates(rows, "__row", shingle=SHINGLE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+    first = ids.join(groups, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same", "row")).alias("x"))
+    stays = materialise(first.select(F.col("x.row").alias("__row")))
+    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
