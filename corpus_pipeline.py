@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiepoint.llm import bpe, linededup, mixing, quality, simhash
+from tiepoint.llm import bpe, linededup, mixing, nearcopies, quality
 from tiepoint.llm.common import checkpoint_dir, materialise, read_table
 
 #: SQL cannot express the stages; their tests compare them with brute force.
@@ -39,8 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
     ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
-    groups = simhash.near_duplicates(rows, "__row", shingle=SHINGLE).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
-    first = ids.join(groups, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same", "row")).alias("x"))
+    first = ids.join(nearcopies.groups(rows, "__row", shingle=SHINGLE), "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same", "row")).alias("x"))
     stays = materialise(first.select(F.col("x.row").alias("__row")))
     return rows.join(stays, "__row", "left_semi").select(*docs.columns)
 

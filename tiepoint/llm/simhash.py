@@ -29,20 +29,22 @@ DISTANCE = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of one whole UTF-8 text; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of the shingles of one whole UTF-8 text; of all its words if they are too few, none for a text without words."""
     words = text.translate(_LOWER).split()
     n = len(words)
     if not n:
-        return 0
+        return []
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends[: n - shingle]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: n - shingle]]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def fingerprint_from(hashes: list[int]) -> int:
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], np.uint64)
@@ -50,6 +52,11 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of one whole UTF-8 text; 0 for a text without words."""
+    return fingerprint_from(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` for every row; fp is the fingerprint as a signed long. A null text counts as empty."""
 
