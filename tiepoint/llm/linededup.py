@@ -3,7 +3,8 @@
 Documents that share a line of several words meet through that line's hash: each is
 paired with the earliest document that has the line, so a line in many documents
 makes one pair for each of them and no more. A pair's lines are aligned with patience
-diff, and aligned blocks that hold such a line are deleted from the later document.
+diff, and aligned blocks that hold such a line are deleted from the later document;
+so are such lines that the alignment does not reach.
 The earliest document that has a line keeps it.
 """
 
@@ -69,7 +70,8 @@ def common_blocks(later: list, earlier: list, worth: list[bool]) -> list[int]:
     """Positions in ``later`` of aligned blocks that hold a line worth deleting.
 
     What is left is aligned again until nothing more is found, for blocks that were
-    moved or stand there twice.
+    moved. Lines that stand there twice, or cross, are then taken one by one, so that
+    no line worth deleting is left that ``earlier`` has.
     """
     left, out = list(range(len(later))), []
     while left:
@@ -82,13 +84,33 @@ def common_blocks(later: list, earlier: list, worth: list[bool]) -> list[int]:
             block.append(left[i] if i >= 0 else -1)
             before = (i, j)
         if not gone:
-            break
+            return sorted(out + [left[i] for i in _by_line([later[p] for p in left], earlier, [worth[p] for p in left])])
         out += gone
         lost = set(gone)
         left = [p for p in left if p not in lost]
     return sorted(out)
 
 
+def _by_line(a: list, b: list, worth: list[bool]) -> set[int]:
+    """Positions in ``a`` of all lines worth deleting that ``b`` has, with the lines around them that also stand around a copy."""
+    known = set(b)
+    before = {x: j for j, x in reversed(list(enumerate(zip(b, b[1:], strict=False))))}
+    gone: set[int] = set()
+    for p, x in enumerate(a):
+        if not worth[p] or x not in known or p in gone:
+            continue
+        gone.add(p)
+        for step in (-1, 1):
+            pair = tuple(a[min(p, p + step) : max(p, p + step) + 1]) if p + step >= 0 else ()
+            if pair not in before:
+                continue
+            i, j = p + step, before[pair] + max(step, 0)
+            while 0 <= i < len(a) and 0 <= j < len(b) and i not in gone and a[i] == b[j]:
+                gone.add(i)
+                i, j = i + step, j + step
+    return gone
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``key, same, gone``: for each document that loses lines, their positions.
 
