@@ -1,0 +1,18 @@
+"""register_end_to_end registers a pair for every region."""
+
+import pytest
+
+from tiepoint.plans import catalogue, registration
+
+
+def test_every_region_is_registered(spark, monkeypatch):
+    seen = []
+
+    def terrain(_, names):
+        seen.extend(names)
+        raise InterruptedError
+
+    monkeypatch.setattr(registration, "terrain", terrain)
+    with pytest.raises(InterruptedError):
+        catalogue.QUERIES["register_end_to_end"](spark, "/root/testdata/sf0.001")
+    assert seen == sorted(r["r_name"] for r in spark.read.parquet("/root/testdata/sf0.001/region.parquet").collect()) and len(seen) > 2

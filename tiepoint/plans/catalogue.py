@@ -454,7 +454,7 @@ def register_end_to_end(spark, sf_dir):
     from tiepoint.plans import registration
 
     names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").orderBy("r_name").collect()]
-    found = registration.register(*registration.terrain(spark, names[:2]), registration.Config(geometry_model="affine"))
+    found = registration.register(*registration.terrain(spark, names), registration.Config(geometry_model="affine"))
     moves = found["transforms"].select("pair_id", F.round(F.get("m", F.lit(2)), 0).alias("dx"), F.round(F.get("m", F.lit(5)), 0).alias("dy"))
     return found["metrics"].select("pair_id", "status", (F.col("inliers") > 30).alias("enough"), (F.col("inlier_ratio") > 0.7).alias("clean")).join(moves, "pair_id")
 
