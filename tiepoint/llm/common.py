@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder of the session; without one a temporary folder, but only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -25,10 +29,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Where the session sets no limit, texts go to Python in batches of about ``size`` bytes, however long they are."""
+#: Bytes of a batch of rows on its way to Python.
+BATCH = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Where the session sets no limit, rows go to Python in batches of about BATCH bytes, however long the texts are.
+
+    The limit is the same for all operators, so no result or memory depends on which ran first.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
@@ -40,13 +51,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, whatever letters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node that has a link to another one; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each is a min per node (partial
     aggregation) and a join back, which AQE can split for a node with many links.
-    Rounds grow with the logarithm of the longest chain. Links with a null end and
-    links of a node to itself are ignored.
+    Rounds grow with the logarithm of the longest chain and go on until nothing
+    changes. Links with a null end and links of a node to itself are ignored.
     """
     a, b = F.col(a), F.col(b)
     edges = materialise(links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
@@ -55,9 +79,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         return e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
 
     before = state(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -67,8 +89,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         edges = materialise(small.distinct())
         now = state(edges)
         if now == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+            break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return ends.unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
