@@ -1,13 +1,17 @@
 """SimHash near-duplicates through multi-index hashing.
 
-A 64-bit fingerprint is two 32-bit segments. Fingerprints that differ in at most
-two bits either agree in one segment and differ by at most two bits in the other,
-or differ by one bit in each. Either way both of them lie in the Hamming ball of
-radius 1 around a common table address, reached by flipping at most one bit within
-one segment while the other keeps its value. So every distinct fingerprint is
-entered at the 65 addresses that its two segments' small balls enumerate; an
-address can hold 65 distinct fingerprints at most, however many copies there are.
-Neighbours at an address are linked after their complete distance is verified.
+A 64-bit fingerprint is two 32-bit segments, and each segment has a table of the
+distinct fingerprints by their value there. Of two fingerprints that differ in at
+most two bits, either the first segments differ by one bit at most, or the second
+segments are equal. So a fingerprint looks up the 33 values of the radius-1 ball
+around its first segment, and its own second segment; what it finds there is linked
+if the complete distance is at most two.
+
+A value that more than BUSY fingerprints share is not looked through. Its members are
+entered once more, under the value and the ball around their other segment, and who
+looks the value up is entered there under their own other segment. Two that are close
+meet at one of these finer addresses, and all who meet there are within two bits of
+each other, so an address has 65 of them at most and links them in a chain.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiepoint.llm.common import bound_batches, connected_components, materialise
@@ -26,6 +30,8 @@ from tiepoint.llm.common import bound_batches, connected_components, materialise
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
+#: Fingerprints of a table's value up to which all of them are compared with who looks it up.
+BUSY = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -69,13 +75,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of distinct fingerprints at most two bits apart, enough of them to connect every such pair."""
-    balls = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    table = fps.select("fp", F.explode(F.concat(F.array("fp"), balls)).alias("address"))
-    before = F.lag("fp").over(Window.partitionBy("address").orderBy("fp"))
-    found = table.select(F.col("fp").alias("a"), before.alias("b")).where("b is not null")
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
+def _ball(segment: Column) -> Column:
+    """A 32-bit value and the 32 values one bit away."""
+    return F.concat(F.array(segment), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: segment.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+
+
+def _met(entries: DataFrame, wanted: DataFrame, first: bool, busy: int) -> DataFrame:
+    """``(a, b)``: who meets in one segment's table, from ``entries`` and ``wanted`` of ``value, fp``."""
+    # the other segment, 32 bits
+    rest = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)) if first else F.shiftrightunsigned("fp", 32)
+    sizes = entries.groupBy("value").agg(F.count("*").alias("size"))
+    crowded = materialise(sizes.where(F.col("size") > busy).select("value", F.lit(True).alias("crowded")))
+    known = entries.join(crowded, "value", "left")
+    listed = known.where("crowded is null").groupBy("value").agg(F.collect_list("fp").alias("members"))  # busy of them at most
+    values = listed.unionAll(crowded.select("value", F.lit(None).cast("array<bigint>")))
+    met = wanted.join(values, "value")
+    found = met.where("members is not null").select(F.col("fp").alias("a"), F.explode("members").alias("b"))
+
+    visits = met.where("members is null").select("value", rest.alias("rest"), "fp")
+    members = known.where("crowded").select("value", F.explode(_ball(rest)).alias("rest"), "fp")
+    before = F.lag("fp").over(Window.partitionBy("value", "rest").orderBy("fp"))
+    chained = visits.unionAll(members).select(F.col("fp").alias("a"), before.alias("b")).where("b is not null")
+    return found.unionAll(chained).where("a <> b")
+
+
+def links(fps: DataFrame, busy: int = BUSY) -> DataFrame:
+    """``(a, b)``: pairs of distinct fingerprints at most two bits apart, enough of them to connect every such pair.
+
+    ``fps`` has distinct values of ``fp``.
+    """
+    first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    ball = fps.select(F.explode(_ball(first)).alias("value"), "fp")
+    alike = fps.select(second.alias("value"), "fp")
+    found = _met(fps.select(first.alias("value"), "fp"), ball, True, busy).unionAll(_met(alike, alike, False, busy))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    return found.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
