@@ -1,12 +1,16 @@
 """Exact top-k inner products with an impact-ordered index, processed score at a time.
 
-Vectors are dealt by a hash of their id into blocks of bounded size. In a block each
-dimension's values are cut into segments; the posting list of a segment is the rows
-whose value lies there. A query's segments are processed by descending quantised
-impact, a round at a time, each round for many queries at once. Partial sums are
-lower bounds, and what is left of every dimension gives an upper bound, so a query
-stops in a block only when all rows but a few are proven not to be among its best.
-Those few are scored exactly.
+Rows are dealt into blocks of bounded size. In a block each dimension has a posting
+list of its rows in order of their values, cut into segments. A segment's impact for a
+query is the largest product, positive or negative, that its values have with the
+query's component. Segments are processed by descending quantised impact: each posting
+adds its exact product to its row's sum, and takes its share off what is left of the
+row's and of the query's length. Segments that are not needed are never read.
+
+What a row's sum can still change by is at most the product of the two lengths that are
+left (Cauchy and Schwarz), and the rows that lead are scored exactly at each look. A
+query stops in a block when that proves all rows but a part of them not to be among its
+best; those rows are scored exactly.
 """
 
 from __future__ import annotations
@@ -18,146 +22,184 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiepoint.llm.common import bound_batches, materialise
+
 #: Rows of a block, and queries of a pack, on average.
 BLOCK, PACK = 4096, 512
 #: A small table is cut into this many blocks all the same.
-LEAST_BLOCKS = 20
-LEVELS = 8
-#: Shares of a query's segments that have been processed after each round.
-ROUNDS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+LEAST_BLOCKS = 12
+#: Segments of a posting list.
+SEGMENTS = 16
+#: Steps into which the largest impact of a query is quantised.
+STEPS = 64
+#: Shares of a block's segments after which a query looks whether it can stop.
+LOOKS = (0.08, 0.16, 0.24, 0.32, 0.4, 0.5, 0.6, 0.8)
+#: A query stops when this share of the rows, or this many times k of them, are left to be scored exactly.
+LEFT, LEFT_K = 0.4, 16
+#: So many times k rows that lead are scored at each look.
+LEADERS = 4
 SCALE = 256
-#: Quantised components saturate here.
-LIMIT = 1 << 26
-
-
-def quantise(vectors: pa.Array) -> list[np.ndarray | None]:
-    """floor(256 x) of each component; None for a vector that is null or holds a null or non-finite component."""
-    out = []
-    for v in vectors:
-        x = v.as_py()
-        if x is None or any(c is None for c in x):
-            out.append(None)
-            continue
-        x = np.asarray(x, np.float64)
-        out.append(np.clip(np.floor(SCALE * x), -LIMIT, LIMIT).astype(np.int64) if np.isfinite(x).all() else None)
-    return out
 
 
-def _padded(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(rows), max([len(r) for r in rows], default=0)), np.int64)
+def _padded(rows: list[list[float]]) -> np.ndarray:
+    """floor(256 x) of each component, as doubles, which hold it exactly; shorter vectors get zeros."""
+    out = np.zeros((len(rows), max([len(r) for r in rows], default=0)))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
+    return np.floor(SCALE * out)
+
+
+def exactly(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as whole numbers, of any size where doubles and longs do not hold them."""
+    if not len(rows) or float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53:
+        return (rows @ query).astype(np.int64)
+    q = [int(x) for x in query]
+    out = np.empty(len(rows), object)
+    out[:] = [sum(int(x) * y for x, y in zip(r, q, strict=True)) for r in rows]
     return out
 
 
+def sortable(score: int) -> bytes:
+    """Bytes in the order of the numbers."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - b for b in raw)
+
+
 class Block:
-    """The index of one block of rows."""
+    """The index of one block: its rows, and in ``order`` each dimension's rows by value."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS):
-        self.ids, self.rows, self.levels = ids, rows, levels
+    def __init__(self, rows: np.ndarray, order: np.ndarray):
+        self.rows = rows
         n, d = rows.shape
-        base, top = rows.min(axis=0), rows.max(axis=0)
-        width = np.maximum((top - base) // levels + 1, 1)
-        level = (rows - base) // width
-        at = level + np.arange(d) * levels
-        self.low = np.full(d * levels, np.iinfo(np.int64).max)
-        self.high = np.full(d * levels, np.iinfo(np.int64).min)
-        np.minimum.at(self.low, at.ravel(), rows.ravel())
-        np.maximum.at(self.high, at.ravel(), rows.ravel())
-        self.used = self.low <= self.high
-        self.low[~self.used] = self.high[~self.used] = 0
-        self.postings = np.zeros((d * levels, n), np.float32)
-        self.postings[at.T.ravel(), np.tile(np.arange(n), d)] = 1
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(query, ids, scores)`` of each query's k best rows here, its own row left out."""
-        n, d = self.rows.shape
-        reach = np.abs(queries).max(axis=0, initial=0) @ (self.rows.max(axis=0) - self.rows.min(axis=0))
-        kind = np.float32 if reach < 1 << 24 else np.float64  # whole numbers that the type holds exactly
-        postings = self.postings.astype(kind, copy=False)
-        q = np.repeat(queries, self.levels, axis=1).astype(np.float64)
-        a, b = q * self.low, q * self.high
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        floor = np.where(self.used, least, np.inf).reshape(len(q), d, self.levels).min(axis=2)
-        floor = np.repeat(floor, self.levels, axis=1)
-        least, most = least - floor, most - floor
-        most[:, ~self.used] = least[:, ~self.used] = 0
-        order = np.argsort(-most, axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(d * self.levels)[None, :].repeat(len(q), axis=0), axis=1)
-        sums = np.zeros((len(q), n))
-        own = query_ids[:, None] == self.ids[None, :]
-        active, done = np.arange(len(q)), 0
-        for share in ROUNDS:
-            upto = int(round(share * d * self.levels))
-            turn = (rank[active] >= done) & (rank[active] < upto)
-            sums[active] += np.where(turn, least[active], 0).astype(kind) @ postings
-            done = upto
-            seen = rank[active] < done
-            by_dim = np.where(seen, most[active] - least[active], most[active]).reshape(len(active), d, self.levels).max(axis=2)
-            slack = by_dim.sum(axis=1)
-            bound = np.where(own[active], -np.inf, sums[active])
-            kth = np.partition(bound, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-            possible = (bound + slack[:, None] >= kth[:, None]) & ~own[active]
-            proven = (possible.sum(axis=1) <= max(16 * k, n // 16)) | (share == ROUNDS[-1])
-            for i in np.nonzero(proven)[0]:
-                at = np.nonzero(possible[i])[0]
-                scores = self.rows[at] @ queries[active[i]]
-                best = np.lexsort((self.ids[at], -scores))[:k]
-                yield int(active[i]), self.ids[at][best], scores[best]
-            active = active[~proven]
-            if not len(active):
-                break
-
-
-def _pack(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """Rows of a block gathered into one row of bytes."""
+        values = np.take_along_axis(rows.T, order, axis=1)
+        parts = min(SEGMENTS, max(1, n))
+        long = -(-n // parts)
+        # segments of equal length; the last ones are filled with a row n that does not exist
+        self.order = np.full((d, parts * long), n, np.int32)
+        self.order[:, :n] = order
+        self.order = self.order.reshape(d, parts, long)
+        self.values = np.zeros((d, parts * long))
+        self.values[:, :n] = values
+        self.values = self.values.reshape(d, parts, long)
+        self.squares = self.values**2
+        self.lengths = (rows**2).sum(axis=1)
+        starts = np.arange(parts) * long
+        self.empty = starts >= n
+        self.left, self.right = values[:, np.minimum(starts, n - 1)], values[:, np.minimum(starts + long, n) - 1]
+
+    @staticmethod
+    def order_of(rows: np.ndarray) -> np.ndarray:
+        return np.argsort(rows.T, axis=1, kind="stable")
+
+    def possible(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows, other than ``own``, of which the k best ones for the query are proven to be part."""
+        n = len(self.rows)
+        everything = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+        if n <= LEFT_K * k or not self.rows.shape[1]:
+            return everything
+        length = float((query**2).sum())
+        longest = float(self.lengths.max())
+        if not 0 < length * longest < 1e300:
+            return everything
+        impact = np.abs(query)[:, None] * np.maximum(np.abs(self.left), np.abs(self.right))
+        level = np.ceil(impact / max(float(impact.max()), 1e-300) * STEPS)
+        level[:, self.empty] = -1
+        turn = np.argsort(-level, axis=None, kind="stable")
+        dims, parts = np.divmod(turn, impact.shape[1])
+        sums, taken, asked = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+        error = 1e-12 * (length * longest) ** 0.5
+        at = 0
+        for share in LOOKS:
+            to = int(share * len(turn))
+            if to <= at:
+                continue
+            x, y = dims[at:to], parts[at:to]
+            who = self.order[x, y].ravel()
+            sums += np.bincount(who, (self.values[x, y] * query[x, None]).ravel(), n + 1)
+            taken += np.bincount(who, self.squares[x, y].ravel(), n + 1)
+            asked += np.bincount(who, np.repeat(query[x] ** 2, self.order.shape[2]), n + 1)
+            at = to
+            rest = np.maximum(self.lengths - taken[:n], 0) + 1e-12 * longest
+            bound = sums[:n] + np.sqrt(rest * (np.maximum(length - asked[:n], 0) + 1e-12 * length))
+            if own >= 0:
+                bound[own] = -np.inf
+            # the k-th best score is at least that of the k-th best among the rows that lead
+            leaders = np.argpartition(bound, n - LEADERS * k)[n - LEADERS * k :]
+            kth = np.sort(self.rows[leaders] @ query)[(LEADERS - 1) * k]
+            left = bound >= kth - error
+            if np.count_nonzero(left) <= max(LEFT * n, LEFT_K * k):
+                return np.nonzero(left)[0]
+        return everything
+
+    def search(self, keys: np.ndarray, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """``(score, position)`` of the k best rows; ``keys`` are ranks that settle ties."""
+        at = self.possible(query, own, k)
+        found = exactly(self.rows[at], query)
+        if len(at) > k:
+            best = found >= np.sort(found)[-k]
+            at, found = at[best], found[best]
+        return sorted(zip(found.tolist(), at.tolist(), strict=True), key=lambda x: (-x[0], keys[x[1]]))[:k]
+
+
+def _gather(rows: DataFrame, blocks: int, name: str, index: bool) -> DataFrame:
+    """The rows of a block as one row of bytes, with the index where asked for."""
 
     def gather(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        found = _padded(quantise(table.column("v").combine_chunks()))
-        return pa.table({name: pa.array([table.column(name)[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "dims": pa.array([found.shape[1]], pa.int32()), "data": [found.astype(np.int32).tobytes()]})
+        found = _padded(table.column("v").to_pylist())
+        data = {name: pa.array([table.column(name)[0].as_py()], pa.int32()), "rows": pa.array([table.column("row").to_pylist()], pa.list_(pa.int64())), "ids": pa.array([table.column("vec_id").to_pylist()], pa.list_(pa.int64())), "dims": pa.array([found.shape[1]], pa.int32()), "data": pa.array([found.tobytes()], pa.binary())}
+        if index:
+            data["lists"] = pa.array([Block.order_of(found).astype(np.int32).tobytes()], pa.binary())
+        return pa.table(data)
 
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy(name).applyInArrow(gather, f"{name} int, ids binary, dims int, data binary")
+    keyed = rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    return keyed.groupBy(name).applyInArrow(gather, f"{name} int, rows array<long>, ids array<long>, dims int, data binary" + ", lists binary" * index)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row for which ``is_query`` holds, its k best other rows.
 
-    Ties go to the smaller id. Vectors that are null or hold a null, NaN or infinite
-    component, and rows without id, take no part. Shorter vectors count as padded with zeros.
-    All rows of a query's own id are left out; rows with a repeated id are candidates of
-    their own. An empty table, or one without queries, gives no rows.
+    Only the query's own row is left out: rows with a repeated id are candidates and
+    queries of their own, and so are rows without id. Ties go to the smaller id, null
+    last, then to the earlier row. Vectors that are null or hold a null, NaN or infinite
+    component (or one whose 256-fold is infinite) take no part. Shorter vectors count as
+    padded with zeros. Scores are exact whole numbers; one beyond the range of a long is
+    given as the nearest long, at its true rank. An empty table, or one without queries,
+    gives no rows.
     """
+    bound_batches(vectors.sparkSession)
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = named.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~bad)
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(SCALE * x) == F.lit(float("inf"))))
+    rows = materialise(named.where(F.col("v").isNotNull() & ~bad).withColumn("row", F.monotonically_increasing_id()))
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     blocks, packs = max(LEAST_BLOCKS, -(-counts["n"] // BLOCK)), max(1, -(-counts["q"] // PACK))
-    indexed = _pack(rows.select("vec_id", "v"), blocks, "block")
-    asked = _pack(rows.where("asks").select("vec_id", "v"), packs, "pack").select("pack", F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("data").alias("query_data"))
+    indexed = _gather(rows.select("row", "vec_id", "v"), blocks, "block", True)
+    asked = _gather(rows.where("asks").select("row", "vec_id", "v"), packs, "pack", False).select("pack", F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("data").alias("query_data"))
     # a pack of queries visits every block: the blocks' numbers are a range, so this is an equi-join
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                x = np.frombuffer(r["data"], np.int32).reshape(len(ids), r["dims"]).astype(np.int64)
-                q = np.frombuffer(r["query_data"], np.int32).reshape(len(query_ids), r["query_dims"]).astype(np.int64)
-                d = max(x.shape[1], q.shape[1], 1)
-                x, q = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (x, q))
-                block, out = Block(ids, x), []
-                for at in range(0, len(q), 64):
-                    for i, found, scores in block.search(query_ids[at : at + 64], q[at : at + 64], k):
-                        out.append((np.full(len(found), query_ids[at + i]), found, scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                x = np.frombuffer(r["data"]).reshape(len(r["rows"]), r["dims"])
+                q = np.frombuffer(r["query_data"]).reshape(len(r["query_rows"]), r["query_dims"])
+                lists = np.frombuffer(r["lists"], np.int32).reshape(x.shape[::-1])
+                # a component beyond the other side's width meets zeros
+                d = min(x.shape[1], q.shape[1])
+                block = Block(np.ascontiguousarray(x[:, :d]), lists[:d])
+                place = {row: at for at, row in enumerate(r["rows"])}
+                keys = [(y is None, y or 0, row) for y, row in zip(r["ids"], r["rows"], strict=True)]
+                out: list[tuple] = []
+                for row, vec_id, query in zip(r["query_rows"], r["query_ids"], q[:, :d], strict=True):
+                    for score, at in block.search(keys, place.get(row, -1), query, k):
+                        out.append((row, vec_id, r["rows"][at], r["ids"][at], max(-(1 << 63), min((1 << 63) - 1, score)), sortable(score)))
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["query_row", "query_id", "row", "vec_id", "score", "key"])
 
     pairs = indexed.join(asked, "block").repartition(blocks * packs, "block", "pack")
-    found = pairs.select("ids", "dims", "data", "query_ids", "query_dims", "query_data").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.drop("block", "pack").mapInArrow(search, "query_row long, query_id long, row long, vec_id long, score long, key binary")
+    best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("key"), F.asc_nulls_last("vec_id"), "row"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
