@@ -1,11 +1,12 @@
 """Language identification with language-bitmask n-gram filters.
 
-Letter trigrams (with word ends) are counted per language over all training texts.
-A language keeps the trigrams that make up at least ``SHARE`` of its own, so it
-keeps 1 / SHARE of them at most, whatever the corpus; that bounds the filter. The
+Letters, and letter trigrams (with word ends), are counted per language over all
+training texts. A language keeps all its letters, of which Unicode bounds the number,
+and its GRAMS most frequent trigrams, so the filter is bounded and a language of many
+characters and few repeated trigrams is known by its characters. The
 filter is a bit-sliced Bloom filter: one position holds a bit for each language, and
-the AND of a trigram's positions is the set of all languages that contain it. A
-document's language has the most trigrams after the hits that false positives
+the AND of an n-gram's positions is the set of all languages that contain it. A
+document's language has the most n-grams after the hits that false positives
 explain are taken off.
 """
 
@@ -16,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiepoint.llm.common import bound_batches, materialise, remainder
 
-SHARE = 5e-5
-#: A language keeps a trigram only if its share there is this part of the largest share in any language.
+#: Trigrams that a language keeps at most, by count; those that tie beyond it are left out together.
+GRAMS = 20_000
+#: A language keeps an n-gram only if its share there is this part of the largest share in any language.
 RELATIVE = 0.2
 HASHES = 4
 BITS_PER_GRAM = 12
@@ -31,8 +33,12 @@ UNDETERMINED = "und"
 CHUNK = 1_000_000
 
 
+#: Marks a single letter among packed trigrams.
+_SINGLE = np.uint64(1 << 63)
+
+
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed letter trigrams of some texts, and the index of each one's text. Only letters count; a blank stands for what lies between words."""
+    """Packed n-grams of some texts, and the index of each one's text: for each letter the trigram around it, then the letters alone. A blank stands for what lies between words."""
     texts = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
     if not len(codes):
@@ -47,8 +53,10 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     plain = np.where(is_letter, codes, 32).astype(np.uint64)
     before[1:], after[:-1] = plain[:-1], plain[1:]
     before[0] = after[-1] = 32
-    packed = (before[is_letter] << np.uint64(42)) | (plain[is_letter] << np.uint64(21)) | after[is_letter]
-    return packed, owner[is_letter]
+    own = plain[is_letter]
+    packed = (before[is_letter] << np.uint64(42)) | (own << np.uint64(21)) | after[is_letter]
+    owner = owner[is_letter]
+    return np.concatenate([packed, own | _SINGLE]), np.concatenate([owner, owner])
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -119,8 +127,8 @@ class Filter:
         return labels, scores
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = SHARE, relative: float = RELATIVE) -> Filter:
-    """Learns from every row whose text and language are not null. The driver gets at most 1 / share trigrams a language."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", grams: int = GRAMS, relative: float = RELATIVE) -> Filter:
+    """Learns from every row whose text and language are not null. The driver gets at most ``grams`` trigrams and the letters of each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +150,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts)
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    of_total = F.broadcast(counts.sparkSession.createDataFrame(list(totals.items()), "lang string, total long"))  # a row per language
-    kept = counts.join(of_total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share).select("lang", "gram", "share").toPandas()
-    top = kept.groupby("gram")["share"].transform("max")
-    kept = kept[kept["share"] >= relative * top]
-    grams = {n: g["gram"].to_numpy(np.int64).view(np.uint64) for n, g in kept.groupby("lang")}
-    return Filter.build(grams, max(totals, key=lambda n: (totals[n], n), default=UNDETERMINED))
+    # letters alone are the negative numbers; a text has as many of them as trigrams
+    totals = {r["lang"]: r["n"] for r in counts.where("gram < 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # how many trigrams occur n times, and from which n on they are no more than are kept: a row per language and count
+    levels = counts.where("gram >= 0").groupBy("lang", "n").agg(F.count("*").alias("kinds"))
+    upto = F.sum("kinds").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    least = levels.withColumn("upto", upto).where(F.col("upto") <= grams).groupBy("lang").agg(F.min("n").alias("least"))
+    kept = counts.join(least, "lang", "left").where("gram < 0 or n >= least").select("lang", "gram", "n").toPandas()
+    kept["share"] = kept["n"] / kept["lang"].map(totals)
+    kept = kept[kept["share"] >= relative * kept.groupby("gram")["share"].transform("max")]
+    found = {n: g["gram"].to_numpy(np.int64).view(np.uint64) for n, g in kept.groupby("lang")}
+    return Filter.build(found, max(totals, key=lambda n: (totals[n], n), default=UNDETERMINED))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
@@ -156,8 +168,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from rows outside fold ``held``. ``und`` with score 0 for a null text or
     one without letters, and for all if nothing could be learned; a text of which no
-    trigram is known gets the most frequent language with score 0. The score is the
-    share of the text's trigrams that the language contains. Repeated rows count again.
+    n-gram is known gets the most frequent language with score 0. The score is the
+    share of the text's n-grams that the language contains. Repeated rows count again.
     """
     model = train(docs.where(remainder(F.col(id_col), folds) != held), text_col, lang_col)
 
