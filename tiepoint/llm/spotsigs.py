@@ -117,31 +117,34 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The next document is that of the next smaller id, after the smallest the largest.
     The edited text has its last half replaced by the start of the next document's.
     Rows of equal id follow in the order of their texts' hashes; rows without id come
-    last. Only ids are put in order; texts are dealt by id, once.
+    last, in that order too, and rows equal in both one after the other. A null text
+    counts as empty; an empty table stays empty. Only ids and hashes are put in order;
+    texts are dealt by them, and each row then meets one text.
     """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("tie"))
-    ids = rows.withColumn("n_chars", F.length("text")).withColumn("nth", nth).select("key", "nth", "n_chars")
-    ordered = materialise(ids.repartitionByRange(F.desc("key"), "nth").withColumn("part", F.spark_partition_id()))
-    within = Window.partitionBy("part").orderBy(F.desc("key"), "nth")
-    here = F.struct("key", "nth")
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    ids = rows.select("key", "tie", F.length("text").alias("n_chars"), F.monotonically_increasing_id().alias("row"))
+    order = (F.desc("key"), F.asc("tie"), F.asc("row"))
+    ordered = materialise(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    within = Window.partitionBy("part").orderBy(*order)
+    here = F.struct("key", "tie")
     following = ordered.withColumn("next", F.lead(here).over(within))
-    firsts = ordered.groupBy("part").agg(F.max_by(here, F.struct("key", -F.col("nth"))).alias("first"))
+    firsts = ordered.groupBy("part").agg(F.max_by(here, F.struct("key", -F.col("tie").cast("decimal(20,0)"), -F.col("row"))).alias("first"))
     in_turn = Window.orderBy("part")  # one row per range
     over_all = in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     borders = firsts.withColumn("after", F.coalesce(F.lead("first").over(in_turn), F.first("first").over(over_all))).select("part", "after")
-    following = following.join(F.broadcast(borders), "part").select("key", "nth", "n_chars", F.coalesce("next", "after").alias("next"))
-    following = following.select(F.col("key").alias("own_key"), F.col("nth").alias("own_nth"), F.col("n_chars").alias("own_chars"), F.col("next.key").alias("key"), F.col("next.nth").alias("next_nth"))
+    following = following.join(F.broadcast(borders), "part").select("key", "tie", "n_chars", F.coalesce("next", "after").alias("next"))
+    following = following.select(F.col("key").alias("own_key"), F.col("tie").alias("own_tie"), F.col("n_chars").alias("own_chars"), F.col("next.key").alias("key"), F.col("next.tie").alias("tie"))
 
-    texts = rows.withColumn("nth", nth).select("key", "nth", "text")
-    # the rank among rows of equal id is compared as a difference: it must not become a key, or texts would be dealt again
+    texts = rows
+    if not ordered.groupBy("key", "tie").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["key", "tie"])  # rows equal in id and text share one text
     half = F.floor(F.col("own_chars") / 2).cast("int")
-    heads = following.join(texts, "key").where("nth - next_nth = 0")
-    heads = heads.select(F.col("own_key").alias("key"), "own_nth", F.col("text").substr(F.lit(1), half).alias("head"), fingerprint(F.col("text")).alias("next_sigs"))
+    heads = following.join(texts, ["key", "tie"])
+    heads = heads.select(F.col("own_key").alias("key"), F.col("own_tie").alias("tie"), F.col("text").substr(F.lit(1), half).alias("head"), fingerprint(F.col("text")).alias("next_sigs"))
     n = F.length("text")
-    both = texts.join(heads, "key").where("nth - own_nth = 0")
+    both = heads.join(texts, ["key", "tie"])
     both = both.select("key", n.cast("long").alias("n_chars"), "text", F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("edited"), "next_sigs")
     found = both.select("key", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("sigs"), fingerprint(F.col("edited")).alias("edited_sigs"), "next_sigs")
     return found.select(
