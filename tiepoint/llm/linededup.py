@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line of several words meet through that line's hash: each is
-paired with the earliest document that has the line, so a line in many documents
-makes one pair for each of them and no more. A pair's lines are aligned with patience
-diff, and aligned blocks that hold such a line are deleted from the later document;
-so are such lines that the alignment does not reach.
+Documents that share a rare line of several words meet through that line's hash: each
+is paired with the earliest document that has the line. A pair's lines are aligned with
+patience diff, and aligned blocks that hold such a line are deleted from the later
+document; so are such lines that the alignment does not reach. A line that is not rare
+brings no documents together, as all that have it would be aligned with one; it is
+deleted wherever an earlier document has it.
 The earliest document that has a line keeps it.
 """
 
@@ -15,13 +16,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import WORD, materialise
+from tiepoint.llm.common import WORD, bound_batches, materialise, quoted
 
 #: Words that a line must have to bring two documents together, and a block to be deleted.
 MIN_WORDS = 5
+#: Times that a line may occur and be rare.
+RARE = 1000
+#: Times that gaps are aligned within gaps; what is left then is taken line by line.
+DEPTH = 50
 _LAST = (1 << 63) - 1
 
 
@@ -31,16 +36,16 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     Common starts and ends are matched; between them the lines that occur once on
     either side are matched along their longest rising run, and the gaps in turn.
     """
-    found, todo = [], [(0, len(a), 0, len(b))]
+    found, todo = [], [(0, len(a), 0, len(b), 0)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
+        a0, a1, b0, b1, deep = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if a0 == a1 or b0 == b1 or deep == DEPTH:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         where = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1 and in_a.get(b[j]) == 1}
@@ -52,8 +57,11 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
         back: list[int] = []
         for n, (_, j) in enumerate(points):
             at = bisect_left(ends, j)
-            ends[at:] = [j, *ends[at + 1 :]] if at < len(ends) else [j]
-            last[at:] = [n, *last[at + 1 :]] if at < len(last) else [n]
+            if at == len(ends):
+                ends.append(j)
+                last.append(n)
+            else:
+                ends[at], last[at] = j, n
             back.append(last[at - 1] if at else -1)
         run, n = [], last[-1]
         while n >= 0:
@@ -62,33 +70,31 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
         found += run
         run.reverse()
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *run], [*run, (a1, b1)], strict=True):
-            todo.append((i + 1, k, j + 1, m))
+            todo.append((i + 1, k, j + 1, m, deep + 1))
     return sorted(found)
 
 
 def common_blocks(later: list, earlier: list, worth: list[bool]) -> list[int]:
     """Positions in ``later`` of aligned blocks that hold a line worth deleting.
 
-    What is left is aligned again until nothing more is found, for blocks that were
-    moved. Lines that stand there twice, or cross, are then taken one by one, so that
-    no line worth deleting is left that ``earlier`` has.
+    Such lines that the alignment leaves, because they were moved or stand there
+    twice, are then taken one by one with their surroundings, so that no line worth
+    deleting is left that ``earlier`` has.
     """
-    left, out = list(range(len(later))), []
-    while left:
-        gone, block, before = [], [], None
-        for i, j in [*align([later[p] for p in left], earlier), (-1, -1)]:
-            if before is None or (i, j) != (before[0] + 1, before[1] + 1):
-                if any(worth[p] for p in block):
-                    gone += block
-                block = []
-            block.append(left[i] if i >= 0 else -1)
-            before = (i, j)
-        if not gone:
-            return sorted(out + [left[i] for i in _by_line([later[p] for p in left], earlier, [worth[p] for p in left])])
-        out += gone
-        lost = set(gone)
-        left = [p for p in left if p not in lost]
-    return sorted(out)
+    gone: list[int] = []
+    block: list[int] = []
+    before = None
+    for i, j in [*align(later, earlier), (-1, -1)]:
+        if before is None or (i, j) != (before[0] + 1, before[1] + 1):
+            if any(worth[p] for p in block):
+                gone += block
+            block = []
+        block.append(i)
+        before = (i, j)
+    lost = set(gone)
+    left = [p for p in range(len(later)) if p not in lost]
+    rest = _by_line([later[p] for p in left], earlier, [worth[p] for p in left])
+    return sorted(gone + [left[i] for i in rest])
 
 
 def _by_line(a: list, b: list, worth: list[bool]) -> set[int]:
@@ -111,46 +117,61 @@ def _by_line(a: list, b: list, worth: list[bool]) -> set[int]:
     return gone
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, same, gone``: for each document that loses lines, their positions.
+def _order_of(id_col: str, text: Column) -> Column:
+    """Documents in order: by id, null last, then by a hash of the text. Rows of equal id and text are one document."""
+    return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("same"))
 
-    ``key`` is the id (null: the last of all) and ``same`` a hash of the text; rows of
-    equal id count as one document, and lose nothing to each other.
-    """
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """``doc, gone``: for each document that loses lines, by ``_order_of``, their positions."""
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.split(text, "\n")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("same"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= min_words).alias("worth"))
+    rows = docs.select(_order_of(id_col, text).alias("doc"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= min_words).alias("worth"))
     rows = materialise(rows.where(F.exists("worth", lambda x: x)))
-    each = rows.select("key", "same", F.explode(F.arrays_zip("lines", "worth")).alias("x")).where("x.worth").select("key", "same", F.col("x.lines").alias("line"))
+    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
+        rows = materialise(rows.dropDuplicates(["doc"]))
+    each = rows.select("doc", F.explode(F.transform(F.arrays_zip("lines", "worth"), lambda x, i: F.struct(F.when(x["worth"], x["lines"]).alias("line"), i.alias("at")))).alias("x"))
+    each = each.where("x.line is not null").select("doc", "x.line", "x.at")
     # written before the join, so that a line of very many documents can be dealt to several tasks there
-    owners = materialise(each.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("line", "owner"))
-    pairs = each.join(owners, "line").where("owner < key").select("key", "same", "owner").distinct()
-    earlier = rows.select(F.col("key").alias("owner"), F.col("lines").alias("earlier"))
-    both = pairs.join(earlier, "owner").join(rows, ["key", "same"]).select("key", "same", "lines", "earlier", "worth")
+    owners = each.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).where("owner < last")
+    owners = materialise(owners.select("line", "owner", (F.col("n") <= rare).alias("rare")))
+    found = each.join(owners, "line").where("owner < doc")
+    pairs = found.where("rare").select("doc", "owner").distinct()
+    earlier = rows.select(F.col("doc").alias("owner"), F.col("lines").alias("earlier"))
+    both = pairs.join(earlier, "owner").join(rows, "doc").select("doc.key", "doc.same", "lines", "earlier", "worth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [common_blocks(a.as_py(), b.as_py(), w.as_py()) for a, b, w in zip(*batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["key", "same", "gone"])
 
-    found = both.mapInArrow(run, "key long, same long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("key", "same").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    aligned = both.mapInArrow(run, "key long, same long, gone array<int>").where(F.size("gone") > 0).select(F.struct("key", "same").alias("doc"), F.explode("gone").alias("at"))
+    lone = found.where(~F.col("rare")).select("doc", "at")
+    return aligned.unionAll(lone).groupBy("doc").agg(F.collect_set("at").alias("gone"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at some positions; each line is looked at once."""
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    joined = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.get(joined, F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with its own columns, its text without the repeated blocks.
 
-    Earlier means a smaller id. A null or empty text stays as it is; a document all of
-    whose lines are repeated keeps an empty text. Columns may have any other names, and
-    ``n_chars``, if there, follows the text. An empty table stays empty.
+    Earlier means a smaller id, null last, and of equal ids the smaller hash of the text;
+    rows that are equal in both lose nothing to each other. A null or empty text stays as
+    it is; a document all of whose lines are repeated keeps an empty text. Columns may have
+    any other names, and ``n_chars``, if there, follows the text. An empty table stays empty.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.struct("key", "same", "gone").alias("__lost"))
+    gone = repeated_lines(docs, id_col, text_col, min_words)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    joined = docs.join(gone, (key == F.col("__lost.key")) & (F.xxhash64(text) == F.col("__lost.same")), "left")
-    # positions become a map's keys, so that a long document is not searched line by line
-    lost = F.map_from_arrays("__lost.gone", "__lost.gone")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.map_contains_key(lost, i)), "\n")
-    edited = F.when(F.col("__lost").isNotNull(), kept).otherwise(F.col(text_col))
-    out = {text_col: edited} | ({"n_chars": F.when(F.col("__lost").isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+    joined = docs.select(row, _order_of(id_col, text).alias("doc")).join(gone, "doc", "left")
+    kept = _without(F.col("row")[text_col], F.col("gone"))
+    out = {text_col: F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("row")[text_col])}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("gone").isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return joined.select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
