@@ -1,23 +1,28 @@
-"""Language-model scoring with a sharded Elias-Fano n-gram trie.
-
-Counting: each task turns texts into word hashes in numpy and sums n-grams before the
-shuffle; they are dealt by ranges of the context's hash, so shards are even whatever
-the words' frequencies, and a shard has both levels of its range. Level 1 holds the
-words in order of hash with their counts and back-off weights, level 2 each word's
-successors with their discounted probabilities; pointers from the first into the
-second, and the keys of both, are Elias-Fano sequences, and probabilities are
-quantised to 16 bits. Shards are files in the session's shared folder.
-
-Scoring: tasks map the shards into memory and look up each batch's distinct n-grams in
-order, by successor search relative to their context. No text is shuffled.
+"""Language-model scoring with a sharded Elias-Fano n-gram trie of order three.
+
+Words are counted first: a word's id is its place in the order of all words' hashes, in
+which hash ranges are shards. Then each task turns texts into ids, sums their trigrams
+in numpy before the shuffle, and deals them by their first word; those of a frequent
+first word are dealt by their second word too, so shards are even whatever the words'
+frequencies. A shard is a trie. Level 1 holds first words with back-off weights, level 2
+their successors with discounted probabilities and back-off weights, level 3 the
+successors of those pairs. Monotone pointers lead from an entry to its successors in the
+next level. Pointers and successors are Elias-Fano sequences, probabilities are quantised
+to 16 bits, and a shard is one file in the session's shared folder.
+
+Scoring: tasks map shards into memory and look up each batch's distinct n-grams in
+order. A context's entry gives the range of its successors by pointer, and the next word
+is sought in that range. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -27,21 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import bound_batches, checkpoint_dir, remainder
+from tiepoint.llm.common import bound_batches, checkpoint_dir, materialise, remainder
 
 #: Taken off each n-gram's count for the words that did not follow.
 DISCOUNT = 0.75
 #: Added to each word's count, and to that of one unknown word.
 ADD = 0.1
-#: Bytes of text for each shard, shards at least, tokens summed or scored together, bytes hashed together.
-SHARD_BYTES, LEAST_SHARDS, TOKENS, CHUNK = 16_000_000, 32, 1_500_000, 1_500_000
-#: Bits of a successor's hash that are kept within its context.
-WORD_BITS = 40
+#: Bytes of text for each shard, shards at least, tokens summed together, tokens scored together, bytes hashed together.
+SHARD_BYTES, LEAST_SHARDS, TOKENS, SCORED, CHUNK = 16_000_000, 32, 1_200_000, 750_000, 1_500_000
+#: A word is frequent if it makes up this part of a shard's tokens on average; there are 1 / FREQUENT of them for each shard at most.
+FREQUENT = 0.25
+#: Shards that a task keeps open.
+OPEN = 1024
 #: Quantised log10 probabilities: 0 to -LOWEST in 65535 steps.
 LOWEST = 12.0
 
 U = np.uint64
-BOS, END = U(0x9D5C3A7E11F0B24D), U(0x3B1F58D6C0A94E72)
+END = U(0x3B1F58D6C0A94E72)
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
@@ -87,49 +94,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def token_batches(column: pa.Array, most: int = TOKENS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(first text, last text, contexts, words, text's end)`` for runs of whole texts of a binary column."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    hasher = Hasher.of(min(max(CHUNK, int(np.diff(offsets).max(initial=0))), max(1, int(offsets[-1] - offsets[0]))))
-    at, held, tokens = 0, [], 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        to = min(to, len(column))
-        words, owner = hasher.words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-        per = np.bincount(owner, minlength=to - at)
-        ends = np.cumsum(per + 1) - 1
-        w = np.empty(len(words) + to - at, U)
-        w[np.arange(len(words)) + owner] = words
-        w[ends] = END
-        c = np.concatenate([[BOS], w[:-1]])
-        c[ends - per] = BOS
-        held.append((c, w, ends + tokens))
-        tokens += len(w)
-        first = at - sum(len(h[2]) for h in held[:-1])
-        at = to
-        if tokens >= most or at == len(column):
-            yield first, at, *map(np.concatenate, zip(*held, strict=True))
-            held, tokens = [], 0
-
-
-def distinct(c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, their counts, and for each input pair which it is."""
-    order = np.lexsort((w, c))
-    c, w = c[order], w[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    which = np.empty(len(c), np.int64)
-    which[order] = np.cumsum(new) - 1
-    starts = np.nonzero(new)[0]
-    return c[starts], w[starts], np.diff(np.append(starts, len(c))), which
+def token_batches(columns: Iterator[pa.Array], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(words, ends)`` for runs of whole texts of binary columns: hashes of all tokens, and where each text's end token stands."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    tokens = 0
+    hasher = Hasher.of(CHUNK)
+    for column in columns:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+            to = min(to, len(column))
+            size = int(offsets[to] - offsets[at])
+            # a text above the usual size gets powers of its own
+            words, owner = (hasher if size <= CHUNK else Hasher.of(size)).words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            per = np.bincount(owner, minlength=to - at)
+            ends = np.cumsum(per + 1) - 1
+            w = np.empty(len(words) + to - at, U)
+            w[np.arange(len(words)) + owner] = words
+            w[ends] = END
+            held.append((w, ends + tokens))
+            tokens += len(w)
+            at = to
+            if tokens >= most:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, tokens = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def distinct(major: np.ndarray, minor: np.ndarray, inverse: bool = False):
+    """Distinct pairs of small whole numbers in order, packed into 64 bits, with their counts or each input pair's place among them."""
+    return np.unique((major.astype(U) << U(32)) | minor.astype(U), return_counts=not inverse, return_inverse=inverse)
+
+
+def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (packed >> U(32)).astype(np.int64), (packed & U(0xFFFFFFFF)).astype(np.int64)
 
 
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary with a directory of ones."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self.ones = ones.astype(np.int64)
         self.zeros = None
 
     @staticmethod
@@ -172,20 +181,21 @@ class EliasFano:
         return at
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        ones = self.ones.astype(np.int64)
-        return ((self._select(i, self.high, ones) - i).astype(U) << U(self.low_bits)) | self._low(i)
+        return ((self._select(i, self.high, self.ones) - i).astype(U) << U(self.low_bits)) | self._low(i)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of the first element equal to each key, or -1: the successor of the key, if it is the key."""
+    def find(self, keys: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element equal to each key, or -1; if asked for, only from ``low`` on and before ``high``."""
         out = np.full(len(keys), -1)
         if not self.n or not len(keys):
             return out
         if self.zeros is None:
-            self.zeros = (np.arange(len(self.high)) << 6) - self.ones.astype(np.int64)
+            self.zeros = (np.arange(len(self.high)) << 6) - self.ones
         bucket, rest = (keys >> U(self.low_bits)).astype(np.int64), keys & U((1 << self.low_bits) - 1)
         inverted = _Inverted(self.high)
         start = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), inverted, self.zeros) - bucket + 1, 0)
         stop = self._select(bucket, inverted, self.zeros) - bucket
+        if low is not None:
+            start, stop = np.maximum(start, low), np.minimum(stop, high)
         live = np.nonzero(start < stop)[0]
         lo, hi = start[live], stop[live]
         while len(live):
@@ -201,7 +211,7 @@ class EliasFano:
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "ones": self.ones}
+        return {"low": self.low, "high": self.high, "ones": self.ones.astype(np.uint32)}
 
 
 class _Inverted:
@@ -257,7 +267,10 @@ def write_shared(uri: str, data: list[bytes]) -> None:
 def map_shared(uri: str) -> np.ndarray | None:
     """A shared file's bytes, mapped into memory, or None if there is no such file; from a remote store by way of a local copy that is already unlinked."""
     if (path := local_path(uri)) is not None:
-        return np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:  # the map outlives the descriptor, of which a task has few
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
     from pyarrow import fs
 
     store, remote = fs.FileSystem.from_uri(uri)
@@ -282,169 +295,310 @@ def packed(meta: dict, arrays: dict[str, np.ndarray]) -> list[bytes]:
     return [len(head).to_bytes(8, "little"), head, *out]
 
 
-class Shard:
-    """One shard of the trie: words in a range of hashes, and their successors."""
+def unpacked(raw: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    head = json.loads(raw[8 : 8 + size].tobytes())
+    return head, {k: np.frombuffer(raw, np.dtype(kind), n, 8 + size + at) for k, (at, kind, n) in head.pop("arrays").items()}
+
+
+def _sequences(parts: dict[str, EliasFano]) -> tuple[dict, dict[str, np.ndarray]]:
+    return {k: [e.n, e.low_bits] for k, e in parts.items()}, {f"{k}.{a}": v for k, e in parts.items() for a, v in e.arrays().items()}
+
+
+def _sequence(head: dict, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
+    return EliasFano(*head[name], *(arrays[f"{name}.{a}"] for a in ("low", "high", "ones")))
+
+
+class Words:
+    """The words of a range of hashes, in order, with their counts."""
 
     @staticmethod
-    def build(shift: int, c: np.ndarray, w: np.ndarray, n: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float) -> tuple[list[bytes], int, int]:
-        """Sorted distinct pairs with counts, sorted distinct words with counts; returns the file, words and tokens."""
-        nodes = np.union1d(c, words)
-        own = np.zeros(len(nodes), np.int64)
-        own[np.searchsorted(nodes, words)] = counts
-        at = np.searchsorted(nodes, c)
-        followed = np.bincount(at, n, minlength=len(nodes))
-        kinds = np.bincount(at, minlength=len(nodes))
-        pointers = np.concatenate([[0], np.cumsum(kinds)])
-        back = np.where(followed > 0, discount * kinds / np.maximum(followed, 1), 1.0)
-        keys = (at.astype(U) << U(WORD_BITS)) | (w >> U(64 - WORD_BITS))
-        prefix = U((1 << shift) - 1) if shift < 64 else U(2**64 - 1)
-        parts = {"nodes": EliasFano.build(nodes & prefix, 1 << shift), "next": EliasFano.build(pointers, len(w) + 1), "keys": EliasFano.build(keys, max(1, len(nodes)) << WORD_BITS)}
-        arrays = {f"{k}.{a}": v for k, e in parts.items() for a, v in e.arrays().items()}
-        # one more entry at the end of each, so that there is something to read for words that are not found
-        arrays |= {"counts": np.append(own, 0).astype(np.min_scalar_type(int(own.max(initial=0)))), "back": quantised(np.append(back, 1.0)), "p": quantised(np.append((n - discount) / np.maximum(followed[at], 1), 0.0))}
-        meta = {k: [e.n, e.low_bits] for k, e in parts.items()}
-        return packed(meta, arrays), int((own > 0).sum()), int(own.sum())
+    def build(shift: int, words: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        meta, arrays = _sequences({"words": EliasFano.build(words & U((1 << shift) - 1), 1 << shift)})
+        return packed(meta, arrays | {"counts": np.append(counts, 0).astype(np.min_scalar_type(int(counts.max(initial=0))))})
 
     def __init__(self, raw: np.ndarray, shift: int):
-        size = int.from_bytes(raw[:8].tobytes(), "little")
-        head = json.loads(raw[8 : 8 + size].tobytes())
-        array = {k: np.frombuffer(raw, np.dtype(kind), n, 8 + size + at) for k, (at, kind, n) in head.pop("arrays").items()}
-        self.nodes, self.next, self.keys = (EliasFano(*head[k], *(array[f"{k}.{a}"] for a in ("low", "high", "ones"))) for k in ("nodes", "next", "keys"))
-        self.counts, self.back, self.p = array["counts"], array["back"], array["p"]
-        self.prefix = U((1 << shift) - 1) if shift < 64 else U(2**64 - 1)
+        head, arrays = unpacked(raw)
+        self.words, self.counts, self.prefix = _sequence(head, arrays, "words"), arrays["counts"], U((1 << shift) - 1)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place, or -1, and its count."""
+        at = self.words.find(words & self.prefix)
+        return at, self.counts[at].astype(np.int64)  # the last count is 0
 
-    def node(self, words: np.ndarray) -> np.ndarray:
-        return self.nodes.find(words & self.prefix)
 
-    def follow(self, node: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Discounted probability of each word after its context's node; 0 if it never followed."""
-        found = self.keys.find((node.astype(U) << U(WORD_BITS)) | (w >> U(64 - WORD_BITS)))
-        return np.where(found >= 0, value_of(self.p[np.maximum(found, 0)]), 0.0)
+class Trie:
+    """One shard of the trie; ids are below ``size``."""
+
+    @staticmethod
+    def build(size: int, totals: dict[int, int], a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, discount: float) -> tuple[list[bytes], dict[int, int]]:
+        """From trigrams with counts, in any order and repeated; returns the file, and for words in ``totals`` how many kinds follow them here.
+
+        ``totals`` has the counts of frequent words, of which other shards have successors
+        too. Where ``c`` is ``size - 1`` the text is over.
+        """
+        firsts, x = np.unique(a, return_inverse=True)
+        pairs, y = distinct(x, b, inverse=True)
+        triples, z = distinct(y, c, inverse=True)
+        n3 = np.bincount(z, n, minlength=len(triples)).astype(np.int64)
+        y, c = halves(triples)
+        n2 = np.bincount(y, n3, minlength=len(pairs)).astype(np.int64)
+        x, b = halves(pairs)
+        kinds2 = np.bincount(x, minlength=len(firsts))
+        n1 = np.bincount(x, n2, minlength=len(firsts)).astype(np.int64)
+        shared = {i: int(kinds2[at]) for at, i in enumerate(firsts.tolist()) if i in totals}
+        for at, i in enumerate(firsts.tolist()):
+            n1[at] = totals.get(i, n1[at])
+        real = c != size - 1
+        y, c, n3 = y[real], c[real], n3[real]
+        kinds3 = np.bincount(y, minlength=len(pairs))
+        follow = lambda kinds: EliasFano.build(np.concatenate([[0], np.cumsum(kinds)]), int(kinds.sum()) + 1)
+        meta, arrays = _sequences({
+            "first": EliasFano.build(firsts, size), "to2": follow(kinds2),
+            "second": EliasFano.build(x.astype(U) * U(size) + b.astype(U), max(1, len(firsts)) * size), "to3": follow(kinds3),
+            "third": EliasFano.build(y.astype(U) * U(size) + c.astype(U), max(1, len(pairs)) * size),
+        })
+        # one more entry at the end of each, which is read for what is not found: no probability, all weight to the shorter context
+        arrays |= {"back2": quantised(np.append(np.minimum(1, discount * kinds2 / n1), 1.0)), "p2": quantised(np.append((n2 - discount) / n1[x], 0.0))}
+        arrays |= {"back3": quantised(np.append(np.where(kinds3 > 0, discount * kinds3 / n2, 1.0), 1.0)), "p3": quantised(np.append((n3 - discount) / n2[y], 0.0))}
+        return packed(meta, arrays), shared
+
+    def __init__(self, raw: np.ndarray, size: int):
+        head, arrays = unpacked(raw)
+        self.first, self.to2, self.second, self.to3, self.third = (_sequence(head, arrays, k) for k in ("first", "to2", "second", "to3", "third"))
+        self.back2, self.p2, self.back3, self.p3 = (arrays[k] for k in ("back2", "p2", "back3", "p3"))
+        self.size = U(size)
+
+    @staticmethod
+    def _after(entries: np.ndarray, words: np.ndarray, pointers: EliasFano, level: EliasFano, size: np.uint64) -> np.ndarray:
+        """Places of words among the successors of entries; -1 where there is no such entry or successor."""
+        out = np.full(len(entries), -1)
+        some = np.nonzero(entries >= 0)[0]
+        at = entries[some]
+        ends = pointers.access(np.concatenate([at, at + 1])).astype(np.int64)
+        out[some] = level.find(at.astype(U) * size + words[some].astype(U), ends[: len(at)], ends[len(at) :])
+        return out
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of level 1 and of level 2 for sorted first words and their successors."""
+        firsts, x = np.unique(a, return_inverse=True)
+        nodes = self.first.find(firsts.astype(U))[x]
+        return nodes, self._after(nodes, b, self.to2, self.second, self.size)
 
-    def successors(self, node: int) -> np.ndarray:
-        """The kept bits of a node's successors, in order."""
-        a, b = (int(x) for x in self.next.access(np.array([node, node + 1])))
-        return self.keys.access(np.arange(a, b)) & U((1 << WORD_BITS) - 1)
+    def triples(self, entries: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self._after(entries, c, self.to3, self.third, self.size)
 
 
 @dataclass(frozen=True)
 class Model:
+    """``starts``: the id of each word shard's first word; ``back``: weights of frequent words, by id."""
+
     folder: str
-    shards: int
+    starts: tuple[int, ...]
     tokens: int
     words: int
+    back: dict[int, float]
+
+    @property
+    def shards(self) -> int:
+        return len(self.starts)
 
     @property
     def shift(self) -> int:
-        return 64 - (self.shards - 1).bit_length()
+        return 65 - self.shards.bit_length()
+
+    @property
+    def size(self) -> int:
+        """Ids: all words, the start of a text, what follows its end."""
+        return self.words + 2
+
 
-    def open(self) -> Reader:
-        return Reader(self)
+def _dealt(model: Model, frequent: np.ndarray, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The shard of pairs of words, by their places in ``hashes``; ``frequent`` says which of them are."""
+    where = np.where(frequent[a], _mixed(hashes[a] * U(3) + hashes[b]), hashes[a])
+    return (where >> U(model.shift)).astype(np.int64)
 
 
 class Reader:
     """The model as one task sees it."""
 
     def __init__(self, model: Model):
-        self.model, self._open = model, {}
-
-    def _by_shard(self, sorted_hashes: np.ndarray) -> Iterator[tuple[Shard, slice]]:
-        of = (sorted_hashes >> U(self.model.shift)).astype(np.int64)
-        cuts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a < b:
-                s = int(of[a])
-                if s not in self._open:
-                    raw = map_shared(f"{self.model.folder}/shard-{s:06d}")
-                    self._open[s] = None if raw is None else Shard(raw, self.model.shift)
-                if self._open[s] is not None:
-                    yield self._open[s], slice(a, b)
-
-    def log10(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each pair: known word or not, log10 of its base probability, log10 of its probability after the context."""
-        pc, pw, _, which = distinct(c, w)
-        words, of_word = np.unique(pw, return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        for shard, at in self._by_shard(words):
-            node = shard.node(words[at])
-            counts[at] = np.where(node >= 0, shard.counts[np.maximum(node, 0)], 0)
-        base = (counts + ADD) / (self.model.tokens + ADD * (self.model.words + 1))
-        back, p = np.ones(len(pc)), np.zeros(len(pc))
-        for shard, at in self._by_shard(pc):
-            contexts, of_context = np.unique(pc[at], return_inverse=True)
-            node = shard.node(contexts)
-            weight = np.where(node >= 0, value_of(shard.back[np.maximum(node, 0)]), 1.0)
-            back[at] = weight[of_context]
-            node = node[of_context]
-            seen = node >= 0
-            part = np.zeros(len(node))
-            part[seen] = shard.follow(node[seen], pw[at][seen])
-            p[at] = part
-        base = base[of_word]
-        return (counts > 0)[of_word][which], np.log10(base)[which], np.log10(p + back * base)[which]
+        self.model, self._open = model, OrderedDict()
+
+    def _shard(self, kind: str, s: int):
+        """A shard, or None if it has no words; of the open ones the longest unused is let go."""
+        key = (kind, s)
+        if key not in self._open:
+            raw = map_shared(f"{self.model.folder}/{kind}-{s:06d}")
+            self._open[key] = None if raw is None else Words(raw, self.model.shift) if kind == "words" else Trie(raw, self.model.size)
+            if len(self._open) > OPEN:
+                self._open.popitem(last=False)
+        self._open.move_to_end(key)
+        return self._open[key]
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of sorted hashes."""
+        ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for s, at in _runs((hashes >> U(self.model.shift)).astype(np.int64)):
+            if (shard := self._shard("words", s)) is not None:
+                place, counts[at] = shard.find(hashes[at])
+                ids[at] = np.where(place >= 0, place + self.model.starts[s], -1)
+        return ids, counts
+
+    def log10(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: known or not, log10 of its base probability, log10 of its probability after the two tokens before it."""
+        model = self.model
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        hashes, w = np.unique(words, return_inverse=True)
+        ids, counts = self.words(hashes)
+        base = (counts + ADD) / (model.tokens + ADD * (model.words + 1))
+        start = len(hashes)  # the start of a text, as the last of the words
+        hashes, ids = np.append(hashes, U(0)), np.append(ids, model.words)
+        v = np.concatenate([[start], w[:-1]])
+        v[starts] = start
+        pairs, pair = distinct(v, w, inverse=True)
+        a, b = halves(pairs)
+        # the pair before a token is its context; the first of a text has none
+        context = np.concatenate([[len(pairs)], pair[:-1]])
+        context[starts] = len(pairs)
+        triples, triple = distinct(context, pair, inverse=True)
+        before, last = halves(triples)
+
+        weight = np.array([model.back.get(i, -1.0) for i in ids.tolist()])
+        frequent = weight >= 0
+        back2 = np.where(frequent, weight, 1.0)[a]
+        p2, p3, back3 = np.zeros(len(pairs)), np.zeros(len(triples)), np.ones(len(pairs) + 1)
+        entries = np.full(len(pairs) + 1, -1)
+        usable = np.nonzero((ids[a] >= 0) & (ids[b] >= 0))[0]
+        of = np.full(len(pairs) + 1, -1)
+        lone = np.nonzero(~frequent[a] & (ids[a] >= 0))[0]  # the weight of a context counts for unknown words too
+        of[usable] = _dealt(model, frequent, hashes, a[usable], b[usable])
+        of[lone] = _dealt(model, frequent, hashes, a[lone], b[lone])
+        by_pair = np.argsort(of[:-1], kind="stable")
+        by_triple = np.argsort(of[before], kind="stable")
+        slices = dict(_runs(of[before][by_triple]))
+        for s, at in _runs(of[:-1][by_pair]):
+            if s < 0 or (shard := self._shard("trie", s)) is None:
+                continue
+            at = by_pair[at]
+            nodes, found = shard.pairs(ids[a[at]], ids[b[at]])
+            back2[at] = np.where(frequent[a[at]], back2[at], value_of(shard.back2[nodes]))
+            p2[at] = np.where(found >= 0, value_of(shard.p2[found]), 0.0)
+            entries[at] = found
+            back3[at] = value_of(shard.back3[found])
+            if s in slices:
+                at = by_triple[slices[s]]
+                at = at[(entries[before[at]] >= 0) & (ids[b[last[at]]] >= 0)]
+                found = shard.triples(entries[before[at]], ids[b[last[at]]])
+                p3[at] = np.where(found >= 0, value_of(shard.p3[found]), 0.0)
+        smooth = p2 + back2 * base[b]
+        full = np.log10(p3 + back3[before] * smooth[last])
+        return (counts > 0)[w], np.log10(base)[w], full[triple]
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """``(value, slice)`` for each run of equal values."""
+    cuts = np.concatenate([[0], np.nonzero(np.diff(values))[0] + 1, [len(values)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a < b:
+            yield int(values[a]), slice(a, b)
+
+
+def _by_shard(of: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each shard that occurs in ``of``, which rises: its slice of each column as bytes."""
+    cuts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+    out = [pa.array(of[cuts[:-1]].astype(np.int32))]
+    for c in columns.values():
+        offsets = (cuts * c.itemsize).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(c).tobytes())]))
+    return pa.RecordBatch.from_arrays(out, ["shard", *columns])
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
 
 
 def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT) -> Model:
-    """Counts all words and pairs of all rows, and writes the trie to the session's shared folder."""
+    """Counts all words and trigrams of all rows, and writes the trie to the session's shared folder.
+
+    The driver sees a row for each shard, and the frequent words, of which there are
+    1 / FREQUENT for each shard at most.
+    """
     spark = docs.sparkSession
-    bound_batches(spark, "8m")  # n-grams are summed within a batch
+    bound_batches(spark)
     folder = f"{checkpoint_dir(spark)}/ngram-{uuid.uuid4().hex}"
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = 1 << max(LEAST_SHARDS - 1, size // SHARD_BYTES).bit_length()
-    shift = 64 - (shards - 1).bit_length()
+    shift = 65 - shards.bit_length()
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, _ in token_batches((b.column(0) for b in batches), TOKENS):
+            words, counts = np.unique(w, return_counts=True)
+            yield _by_shard((words >> U(shift)).astype(np.int64), {"words": words, "counts": counts.astype(np.uint32)})
+
+    def write_words(table: pa.Table) -> pa.Table:
+        s = table.column("shard")[0].as_py()
+        words, at = np.unique(_column(table, "words", U), return_inverse=True)
+        counts = np.bincount(at, _column(table, "counts", np.uint32), minlength=len(words)).astype(np.int64)
+        write_shared(f"{folder}/words-{s:06d}", Words.build(shift, words, counts))
+        top = np.argsort(-counts, kind="stable")[: int(shards / FREQUENT)]
+        return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "top": pa.array([top.tolist()], pa.list_(pa.int64())), "of_top": pa.array([counts[top].tolist()], pa.list_(pa.int64())), "texts": pa.array([int(counts[words == END].sum())], pa.int64())})
+
+    sums = texts.mapInArrow(count_words, "shard int, words binary, counts binary")
+    done = sums.groupBy("shard").applyInArrow(write_words, "shard int, words long, tokens long, top array<long>, of_top array<long>, texts long")
+    done = materialise(done)
+    kinds, tokens, n_texts = {r["shard"]: r["words"] for r in done.select("shard", "words").collect()}, *(done.agg(F.sum("tokens"), F.sum("texts")).first())
+    tokens, n_texts = tokens or 0, n_texts or 0
+    starts = [0]
+    for s in range(shards):
+        starts.append(starts[-1] + kinds.get(s, 0))
+    often = done.select("shard", F.explode(F.arrays_zip("top", "of_top")).alias("x")).where(F.col("x.of_top") > FREQUENT * tokens / shards)
+    totals = {starts[r["shard"]] + r["top"]: r["of_top"] for r in often.select("shard", "x.*").collect()} | {starts[-1]: n_texts}
+    counted = Model(folder, tuple(starts[:-1]), tokens, starts[-1], {i: 0.0 for i in totals})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, c, w, _ in token_batches(batch.column(0)):
-                pc, pw, n, _ = distinct(c, w)
-                words, own = np.unique(w, return_counts=True)
-                edges = np.arange(shards + 1).tolist()
-                at = np.searchsorted((pc >> U(shift)).astype(np.int64), edges)
-                at_word = np.searchsorted((words >> U(shift)).astype(np.int64), edges)
-                rows = []
-                for s in range(shards):
-                    a, b, i, j = at[s], at[s + 1], at_word[s], at_word[s + 1]
-                    if a < b or i < j:
-                        contexts, runs = np.unique(pc[a:b], return_counts=True)
-                        rows.append((s, *(x.tobytes() for x in (contexts, runs.astype(np.uint32), pw[a:b], n[a:b].astype(np.uint32), words[i:j], own[i:j].astype(np.uint32)))))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["shard", "contexts", "runs", "successors", "n", "words", "own"])
+        reader = Reader(counted)
+        for words, ends in token_batches((b.column(0) for b in batches), TOKENS):
+            hashes, w = np.unique(words, return_inverse=True)
+            ids, _ = reader.words(hashes)
+            ids, hashes = np.append(ids, [counted.words, counted.words + 1]), np.append(hashes, [U(0), U(0)])
+            a, c = np.concatenate([[0], w[:-1]]), np.append(w[1:], 0)
+            a[np.concatenate([[0], ends[:-1] + 1])], c[ends] = len(hashes) - 2, len(hashes) - 1
+            pairs, pair = distinct(a, w, inverse=True)
+            triples, n = distinct(pair, c)
+            pair, c = halves(triples)
+            a, b = halves(pairs)
+            of = _dealt(counted, np.array([i in totals for i in ids.tolist()]), hashes, a, b)[pair]
+            order = np.argsort(of, kind="stable")
+            pair, c = pair[order], c[order]
+            kind = np.min_scalar_type(counted.size)
+            yield _by_shard(of[order], {"a": ids[a[pair]].astype(kind), "b": ids[b[pair]].astype(kind), "c": ids[c].astype(kind), "n": n[order].astype(np.uint32)})
 
     def build(table: pa.Table) -> pa.Table:
-        def column(name: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-
-        c = np.repeat(column("contexts", U), column("runs", np.uint32))
-        w, n = column("successors", U), column("n", np.uint32)
-        order = np.lexsort((w, c))
-        c, w, n = c[order], w[order], n[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        starts = np.nonzero(new)[0]
-        n = np.add.reduceat(n.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-        words, which = np.unique(column("words", U), return_inverse=True)
-        own = np.bincount(which, column("own", np.uint32), minlength=len(words)).astype(np.int64)
         s = table.column("shard")[0].as_py()
-        data, n_words, tokens = Shard.build(shift, c[starts], w[starts], n, words, own, discount)
-        write_shared(f"{folder}/shard-{s:06d}", data)
-        return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([n_words], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+        kind = np.min_scalar_type(counted.size)
+        a, b, c = (_column(table, x, kind).astype(np.int64) for x in "abc")
+        data, shared = Trie.build(counted.size, totals, a, b, c, _column(table, "n", np.uint32), discount)
+        write_shared(f"{folder}/trie-{s:06d}", data)
+        return pa.table({"id": pa.array(list(shared), pa.int64()), "kinds": pa.array(list(shared.values()), pa.int64())})
 
-    sums = texts.mapInArrow(count, "shard int, contexts binary, runs binary, successors binary, n binary, words binary, own binary")
-    # a shard without words has no file
-    done = sums.groupBy("shard").applyInArrow(build, "shard int, words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
-    return Model(folder, shards, done["tokens"] or 0, done["words"] or 0)
+    sums = texts.mapInArrow(count, "shard int, a binary, b binary, c binary, n binary")
+    kinds_of = sums.groupBy("shard").applyInArrow(build, "id long, kinds long").groupBy("id").agg(F.sum("kinds").alias("kinds")).collect()
+    # to the same steps as the weights in the shards
+    back = {r["id"]: float(value_of(quantised(np.array([min(1.0, discount * r["kinds"] / totals[r["id"]])])))[0]) for r in kinds_of}
+    return Model(folder, counted.starts, tokens, counted.words, back)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = model.open()
+        reader = Reader(model)
         for batch in batches:
             found = []
-            for _, _, c, w, ends in token_batches(batch.column(1), TOKENS // 2):
-                known, base, full = reader.log10(c, w)
+            for words, ends in token_batches(iter([batch.column(1)]), SCORED):
+                known, base, full = reader.log10(words, ends)
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 found.append((ends - starts + 1, *(np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, full))))
             cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
