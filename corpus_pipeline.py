@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.llm import bpe, linededup, mixing, nearcopies, quality
-from tiepoint.llm.common import checkpoint_dir, materialise, read_table
+from tiepoint.llm.common import checkpoint_dir, materialise, quoted, read_table
 
 #: SQL cannot express the stages; their tests compare them with brute force.
 ORACLE_SQL = None
@@ -35,20 +35,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, whatever the rows' ids.
 
     It is the row with the smallest id (null: the last of all), of equal ids the one
-    with the smallest hash of its text.
+    with the smallest hash of its text; of rows that are equal in both any one. Null texts
+    are like empty ones, and all of these are one group.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
-    first = ids.join(nearcopies.groups(rows, "__row", shingle=SHINGLE), "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same", "row")).alias("x"))
-    stays = materialise(first.select(F.col("x.row").alias("__row")))
-    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
+    keys = [F.col("doc_id").isNull().alias("last"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), nearcopies.text_hash(F.col("text")).alias("same")]
+    names = ["last", "id", "same"]
+    every = materialise(docs.select(*keys).groupBy(*names).agg(F.count("*").alias("n")))
+    first = every.groupBy("same").agg(F.min(F.struct("last", "id")).alias("x")).join(nearcopies.groups(docs, shingle=SHINGLE), "same")
+    first = first.groupBy("root").agg(F.min(F.struct("x.last", "x.id", "same")).alias("x"))
+    stays = materialise(first.select("x.*").join(every, names))
+    gone = materialise(every.join(stays, names, "left_anti").select(*names))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *keys)
+    if gone.count() <= nearcopies.FEW:
+        kept = rows.join(F.broadcast(gone), names, "left_anti")  # no text is shuffled
+    else:
+        kept = rows.join(stays.select(*names), names, "left_semi")
+    twice = materialise(stays.where("n > 1").select(*names))
+    if not twice.isEmpty():
+        kept = kept.join(twice, names, "left_anti").unionByName(kept.join(twice, names, "left_semi").dropDuplicates(names))
+    return kept.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, name="__mix")
-    copies = mixed.where("__mix.copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
-    return copies.select(*docs.columns)
+    mixed = mixing.mix(docs)
+    own, copies = [F.col(quoted(c)) for c in docs.columns], F.col(quoted(mixed.columns[-1]))["copies"]
+    taken = mixed.where(copies > 0).select(F.struct(*own).alias("row"), F.explode(F.sequence(F.lit(1), copies)))
+    return taken.select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
