@@ -1,6 +1,7 @@
 """Exact search, page extraction, the registered queries and the pipeline."""
 
 import html
+import math
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_documents import brute_dedup, brute_fingerprint, brute_mix, components
+from test_documents import brute_fingerprint, check_dedup, brute_mix, components
 from tiepoint.llm import html_blocks, quality, queries, topk
 from twins import compare
 
@@ -28,34 +29,45 @@ def test_queries_return_all_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
+def brute_top_k(rows, asks, k=5):
+    """Scores of whole numbers by Python; rows are left out only from their own lists."""
+    whole = [(n, i, [math.floor(256.0 * c) for c in v]) for n, (i, v) in enumerate(rows) if v is not None and all(c is not None and math.isfinite(256.0 * c) for c in v)]
+    out = []
+    for n, i, q in whole:
+        if asks(i):
+            best = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j is None, j or 0, m) for m, j, c in whole if m != n)[:k]
+            out += [(i, r + 1, None if no else j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, no, j, _) in enumerate(best)]
+    return sorted(out, key=str)
+
+
 def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 9)) * 0.3
     x[50:90] = x[0]
-    rows = [(i, [float(v) for v in r], i) for i, r in enumerate(x)]
-    rows += [(300, None, 0), (301, [float("nan")] * 9, 0), (302, [None] * 9, 0), (303, [float("inf")] + [0.0] * 8, 0), (None, [9.0] * 9, 0), (304, [0.5], 0), (305, [], 0), (20, [float(v) for v in x[20]], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    whole = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v):
-            whole.setdefault(i, []).append(np.pad(np.floor(256 * np.array(v, float)).astype(int), (0, 9 - len(v))))
-    want = []
-    for i in whole:
-        if i % 10 == 0:
-            for q in whole[i][:1]:
-                best = sorted((-int(q @ c), j) for j, cs in whole.items() if j != i for c in cs)[:5]
-                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    got = [tuple(r) for r in topk.top_k(df.where("vec_id is null or vec_id <> 20 or score <> 0"), F.col("vec_id") % 10 == 0).collect()]
-    whole[20] = whole[20][:1]
-    want = []
-    for i in whole:
-        if i % 10 == 0:
-            best = sorted((-int(whole[i][0] @ c[0]), j) for j, c in whole.items() if j != i)[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert sorted(got) == sorted(want)
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
-    few = topk.top_k(df.where("vec_id in (10, 11)"), F.col("vec_id") == 10).collect()
-    assert [r["vec_id"] for r in few] == [11]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(300, None), (301, [float("nan")] * 9), (302, [None] * 9), (303, [float("inf")] + [0.0] * 8), (None, [9.0] * 9), (None, [0.1] * 9), (304, [0.5]), (305, []), (310, [1.0] * 12)]
+    rows += [(20, [float(v) for v in x[20]]), (20, [2.0] * 9), (7, [float(v) for v in x[7]])]
+    ask = F.col("vec_id") % 10 == 0
+    df = lambda r: spark.createDataFrame([(*row, 0) for row in r], "vec_id long, embedding array<double>, score int")
+    got = sorted((tuple(r) for r in topk.top_k(df(rows), ask).collect()), key=str)
+    assert got == brute_top_k(rows, lambda i: i is not None and i % 10 == 0)
+    wide = rows[:40] + [(n, [float(v) for v in rng.choice([1e9, -3e9, 300_000.0, 0.001, 5e15, 1e200, 1e306], 9)]) for n in range(1000, 1060, 5)]
+    got = sorted((tuple(r) for r in topk.top_k(df(wide), ask).collect()), key=str)
+    assert got == brute_top_k(wide, lambda i: i % 10 == 0)
+    assert topk.top_k(df([]), ask).count() == 0
+    assert [r["vec_id"] for r in topk.top_k(df(rows[10:12]), F.col("vec_id") == 10).collect()] == [11]
+
+
+def test_search_reads_less_than_all_and_is_exact():
+    rng = np.random.default_rng(3)
+    rows = np.floor(rng.normal(size=(5000, 24)) * 60)
+    rows[:2500] = np.floor(rows[:2500] * 0.3)
+    block = topk.Block(rows, topk.Block.order_of(rows))
+    for n in range(0, 5000, 500):
+        left = block.possible(rows[n], n, 5)
+        scores = rows @ rows[n]
+        scores[n] = -np.inf
+        assert len(left) < 0.5 * len(rows) and set(np.nonzero(scores > np.sort(scores)[-5])[0]) <= set(left.tolist())
 
 
 def test_labeller_gradients():
@@ -125,9 +137,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert good.columns == docs.columns
     assert {r["doc_id"] for r in good.collect()} == {i for i in rows if model.score(stats[i][None])[0] >= quality.THRESHOLD}
 
-    want = brute_dedup([(r["doc_id"], r["text"]) for r in good.collect()])
     edited = apply("line_dedup", good)
-    assert {r["doc_id"]: r["text"] for r in edited.collect()} == want
+    want = {r["doc_id"]: r["text"] for r in edited.collect()}
+    check_dedup([(r["doc_id"], r["text"]) for r in good.collect()], want)
 
     items = sorted(want.items())
     fps = [brute_fingerprint(t, corpus_pipeline.SHINGLE) for _, t in items]
