@@ -148,13 +148,13 @@ def test_archives(spark, tmp_path):
     assert [(x["sensor_view"], x["variant"], x["year"], x["product_id"]) for x in r] == [("f", "d18", 2019, "urn:1")]
     assert [x["member"] for x in archives.unsafe(found.where("problem is null")).collect()] == ["../evil.txt"]
     with pytest.raises(ValueError):
-        archives.stage(str(tmp_path / "one.zip"), str(tmp_path / "out"))
+        archives.stage(spark, str(tmp_path / "one.zip"), str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
     with ZipFile(tmp_path / "ok.zip", "w") as z:
         z.writestr("data/a.img", b"1")
-    assert archives.stage(str(tmp_path / "ok.zip"), str(tmp_path / "out"))
+    assert archives.stage(spark, str(tmp_path / "ok.zip"), str(tmp_path / "out"))
     with pytest.raises(FileExistsError):
-        archives.stage(str(tmp_path / "ok.zip"), str(tmp_path / "out"))
+        archives.stage(spark, str(tmp_path / "ok.zip"), str(tmp_path / "out"))
 
 
 def test_tables(spark, tmp_path):

@@ -175,10 +175,10 @@ def exemplar_first_n(spark, sf_dir):
     return pairing.first_n(view(spark, sf_dir, "metric").where("status = 'completed'"), ["data_level", "pair_type"], 3).select("pair_id", "data_level", "pair_type")
 
 
-@query("SELECT o_orderkey, concat('tmc2_', o_orderpriority, '_', lpad(cast(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS varchar), 7, '0')) AS pair_id FROM orders")
+@query("SELECT o_orderkey, concat('tmc2_', o_orderpriority, '_', printf('%05d', row_number() OVER (ORDER BY o_orderdate, o_orderkey))) AS pair_id FROM orders")
 def pair_ids(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    return pairing.number_pairs(o, ["o_orderdate", "o_orderkey"], F.concat(F.lit("tmc2_"), "o_orderpriority"), 7).select("o_orderkey", "pair_id")
+    return pairing.number_pairs(o, ["o_orderdate", "o_orderkey"], F.concat(F.lit("tmc2_"), "o_orderpriority")).select("o_orderkey", "pair_id")
 
 
 @query("SELECT n_name AS pair, r_name AS method FROM nation, region")
@@ -310,15 +310,15 @@ def pyramid_down(spark, sf_dir):
 _SPECTRA = "s AS (SELECT concat('l', cast(label AS varchar)) AS product_id, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
-@query(f"WITH {_SPECTRA}, t AS (SELECT product_id, i - 1 AS i, j - 1 AS j, e[i] AS a, e[j] AS b FROM s, range(1, 9) p(i), range(1, 9) q(j) WHERE i <= j) SELECT product_id, i::INT AS i, j::INT AS j, round(avg(a), 6) AS mean_i, round(avg(b), 6) AS mean_j, round(covar_pop(a, b), 6) AS covariance FROM t GROUP BY 1, 2, 3")
+@query(f"WITH {_SPECTRA}, t AS (SELECT product_id, i - 1 AS i, j - 1 AS j, e[i] AS a, e[j] AS b FROM s, range(1, 65) p(i), range(1, 65) q(j) WHERE i <= j) SELECT product_id, i::INT AS i, j::INT AS j, round(avg(a), 6) AS mean_i, round(avg(b), 6) AS mean_j, round(covar_pop(a, b), 6) AS covariance FROM t GROUP BY 1, 2, 3")
 def pca_moments(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("product_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("spectrum"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("product_id"), F.col("embedding").cast("array<double>").alias("spectrum"))
     return raster.spectral_moments(e).withColumns(r6("mean_i", "mean_j", "covariance"))
 
 
 @query()
 def pca_plane(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("product_id"), F.col("vec_id").cast("int").alias("y"), F.lit(0).alias("x"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("spectrum"), (F.col("vec_id") % 17 != 0).alias("valid"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("product_id"), F.col("vec_id").cast("int").alias("y"), F.lit(0).alias("x"), F.col("embedding").cast("array<double>").alias("spectrum"), (F.col("vec_id") % 17 != 0).alias("valid"))
     return raster.principal_plane(e).select("product_id", "y", F.round("v", 5).alias("v"), "valid")
 
 
@@ -377,15 +377,17 @@ def warp_tiles(spark, sf_dir):
 
 
 def _planes(spark, sf_dir):
-    """Two planes, the second moved by (2, 1), and points to refine."""
+    """Planes, the same moved by (2, 1), and a point to refine for each supplier."""
     px = view(spark, sf_dir, "raster").select(F.col("product_id").alias("pair_id"), "y", "x", "v")
     moved = px.select("pair_id", (F.col("y") + 1).alias("y"), (F.col("x") + 2).alias("x"), "v").where("y < 64 and x < 64").unionByName(px.where("y < 1 or x < 2"))
-    at = px.where("y % 16 = 4 and x % 16 = 4").select("pair_id", (F.col("y") * 64 + F.col("x")).cast("long").alias("match_id"), F.col("x").cast("double").alias("source_x"), F.col("y").cast("double").alias("source_y"), (F.col("x") + 1).cast("double").alias("reference_x"), F.col("y").cast("double").alias("reference_y"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    x, y = ((10 + F.col("s_suppkey") * by % span).cast("double") for by, span in ((7, 43), (13, 44)))
+    at = s.select(F.concat(F.lit("p"), (F.col("s_suppkey") % 25).cast("string")).alias("pair_id"), F.col("s_suppkey").alias("match_id"), x.alias("source_x"), y.alias("source_y"), (x + 1).alias("reference_x"), y.alias("reference_y"))
     return at, px, moved
 
 
 _NCC = f"""{_WITH('raster')}, a AS (SELECT product_id AS pair_id, y, x, v FROM raster), b AS (SELECT pair_id, y + 1 AS y, x + 2 AS x, v FROM a WHERE y < 63 AND x < 62 UNION ALL SELECT * FROM a WHERE y < 1 OR x < 2),
-p AS (SELECT pair_id, y * 64 + x AS match_id, y, x FROM a WHERE y % 16 = 4 AND x % 16 = 4 AND x >= 10 AND x < 54 AND y >= 10 AND y < 54 AND x + 1 < 54),
+p AS (SELECT concat('p', s_suppkey % 25) AS pair_id, s_suppkey AS match_id, (10 + s_suppkey * 13 % 44)::INT AS y, (10 + s_suppkey * 7 % 43)::INT AS x FROM supplier),
 ps AS MATERIALIZED (SELECT pair_id, match_id, wy, wx, y + wy AS y, x + wx AS x FROM p, range(-5, 6) w1(wy), range(-5, 6) w2(wx)),
 pr AS MATERIALIZED (SELECT pair_id, match_id, ty, tx, y + ty AS y, x + 1 + tx AS x FROM p, range(-8, 9) w1(ty), range(-8, 9) w2(tx)),
 ss AS MATERIALIZED (SELECT pair_id, match_id, wy, wx, v AS s FROM ps JOIN a USING (pair_id, y, x)), rr AS MATERIALIZED (SELECT pair_id, match_id, ty, tx, v AS r FROM pr JOIN b USING (pair_id, y, x)),
@@ -481,15 +483,17 @@ def level_rescale(spark, sf_dir):
     return matches.rescale(view(spark, sf_dir, "corr"), (2.0, 2.0), (4.0, 4.0)).select("pair_id", "match_id", "source_x", "source_y", "reference_x", "reference_y").withColumns(r6("reference_x", "reference_y"))
 
 
-@query(f"{_WITH('raster')} SELECT a.y, a.x, cast(round_even((a.v + b.v) / 2, 0) AS int) AS v FROM raster a JOIN raster b USING (y, x) WHERE a.product_id = 'p0' AND b.product_id = 'p1'")
+@query(f"{_WITH('raster')} SELECT a.product_id, a.y, a.x, cast(round_even((a.v + b.v) / 2, 0) AS int) AS v FROM raster a JOIN raster b ON a.y = b.y AND a.x = b.x AND b.product_id = 'p' || ((a.product_id[2:]::INT + 1) % 25)")
 def overlay_planes(spark, sf_dir):
+    """Every product with the next one."""
     px = view(spark, sf_dir, "raster")
-    return raster.overlay(px.where("product_id = 'p0'"), px.where("product_id = 'p1'"))
+    before = (F.substring("product_id", 2, 9).cast("int") + 24) % 25
+    return raster.overlay(px, px.withColumn("product_id", F.concat(F.lit("p"), before.cast("string"))), ["product_id"])
 
 
-@query(f"{_WITH('raster')} SELECT g.y::INT AS y, g.x::INT AS x, r.valid FROM (SELECT * FROM range(45) a(y), range(100) b(x)) g JOIN raster r ON r.product_id = 'p3' AND r.y = g.y * 64 // 45 AND r.x = g.x * 64 // 100")
+@query(f"{_WITH('raster')} SELECT product_id, g.y::INT AS y, g.x::INT AS x, r.valid FROM (SELECT * FROM range(45) a(y), range(100) b(x)) g JOIN raster r ON r.y = g.y * 64 // 45 AND r.x = g.x * 64 // 100")
 def resized_mask(spark, sf_dir):
-    return raster.resize_mask(view(spark, sf_dir, "raster").where("product_id = 'p3'").select("y", "x", "valid"), 45, 100)
+    return raster.resize_mask(view(spark, sf_dir, "raster").select("product_id", "y", "x", "valid"), 45, 100, ["product_id"])
 
 
 @query("SELECT n_nationkey, least(greatest(cast(round_even((n_nationkey * 300 + 100) - 10 * 5 - 100, 0) AS int), 0), 3800) AS window_x, least(greatest(cast(round_even((n_nationkey * 350 + 100) + 10 * 3 - 100, 0) AS int), 0), 8800) AS window_y FROM nation")

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import os
-import shutil
+import json
 import stat
 import tempfile
 from collections.abc import Iterator
+from itertools import batched
+from pathlib import Path
 from zipfile import BadZipFile, ZipFile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions.classify import is_safe_member, stem
 from tiepoint.functions.labels import first_value, instant
+from tiepoint.functions.session import materialise
+from tiepoint.sources.images import decode, gray_of
 
 #: Fixed value: how browse images are named; view, time stamp and variant.
 BROWSE = r"(?i)(?:^|/)ch2_tmc_n[cr]([fna])_(\d{8}T\d+)_b_brw_([^/.]+)\.png$"
@@ -24,12 +27,23 @@ GRID = r"(?i)(?:^|/)ch2_tmc_n([cr])([fna])_(\d{8}T\d+)_g_grd_([^/.]+)\.csv$"
 MOST_BYTES, MOST_MEMBERS = 20 << 30, 100_000
 
 
+def _opened(path: str):
+    """A random-access file of the store that ``path`` names; only what is asked for is read."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
 def members(spark: SparkSession, path: str, texts: str = r"(?i)\.xml$") -> DataFrame:
     """``archive, member, size, encrypted, mode, text, problem``: files of all ZIP archives of a folder or glob.
 
-    Contents are read for members that match ``texts`` alone. A broken archive is one row with a problem.
+    An archive of any size is opened where it lies: its directory is read, and the
+    members that match ``texts``. A broken archive is one row with a problem.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
     types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
     names = ["archive", "member", "size", "encrypted", "mode", "text", "problem"]
 
@@ -37,24 +51,52 @@ def members(spark: SparkSession, path: str, texts: str = r"(?i)\.xml$") -> DataF
         import re
 
         wanted = re.compile(texts)
+
+        def rows_of(name: str) -> Iterator[tuple]:
+            try:
+                with _opened(name) as f, ZipFile(f) as z:
+                    for e in z.infolist():
+                        if not e.is_dir():
+                            locked = bool(e.flag_bits & 1)
+                            text = z.read(e).decode("utf-8", "replace") if wanted.search(e.filename) and not locked else None
+                            yield name, e.filename, e.file_size, locked, e.external_attr >> 16, text, None
+            except BadZipFile as e:
+                yield name, None, None, None, None, None, str(e)
+
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    with ZipFile(io.BytesIO(content)) as z:
-                        for e in z.infolist():
-                            if not e.is_dir():
-                                locked = bool(e.flag_bits & 1)
-                                text = z.read(e).decode("utf-8", "replace") if wanted.search(e.filename) and not locked else None
-                                rows.append((name, e.filename, e.file_size, locked, e.external_attr >> 16, text, None))
-                except BadZipFile as e:
-                    rows = [(name, None, None, None, None, None, str(e))]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1000], strict=True), types, strict=True)], names)
+            for name in batch.column(0).to_pylist():
+                for rows in batched(rows_of(name), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return files.mapInArrow(run, "archive string, member string, size long, encrypted boolean, mode int, text string, problem string")
 
 
+def member_planes(wanted: DataFrame) -> DataFrame:
+    """Pixels of images inside archives: ``pair_id, band, y, x, v, valid`` and ``problem``, for rows ``pair_id, archive, member``.
+
+    Colours become gray by the usual weights. An image that cannot be read is one row
+    with a problem and no pixels. A row's image is decoded by the task that has the row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                try:
+                    with _opened(r["archive"]) as f, ZipFile(f) as z:
+                        image = gray_of(decode(r["member"], z.read(r["member"])))
+                except Exception as e:  # any broken image is a row, not a failed job
+                    yield pa.RecordBatch.from_arrays([pa.array([r["pair_id"]]), *(pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.float64())), pa.array([f"{r['member']}: {e}"])], ["pair_id", "y", "x", "v", "problem"])
+                    continue
+                for top in range(0, image.shape[0], 256):
+                    part = image[top : top + 256]
+                    y, x = np.indices(part.shape, np.int32)
+                    n = part.size
+                    yield pa.RecordBatch.from_arrays([pa.array([r["pair_id"]] * n), pa.array(y.ravel() + np.int32(top)), pa.array(x.ravel()), pa.array(part.ravel().astype(float)), pa.nulls(n, pa.string())], ["pair_id", "y", "x", "v", "problem"])
+
+    found = wanted.select("pair_id", "archive", "member").repartition("pair_id").mapInArrow(run, "pair_id string, y int, x int, v double, problem string")
+    return found.select("pair_id", F.lit(0).alias("band"), "y", "x", "v", F.lit(True).alias("valid"), "problem")
+
+
 def _labelled(found: DataFrame, pattern: str) -> DataFrame:
     """Members that match, with the label of the same stem in the same archive and its start; others are left out."""
     images = found.where(F.col("member").rlike(pattern)).select("archive", "member", stem(F.col("member")).alias("stem"))
@@ -90,33 +132,40 @@ def with_sidecars(images: DataFrame, labels: DataFrame) -> DataFrame:
     return a.join(b, "stem", "left").drop("stem")
 
 
+def _kept_out(member: Column, mode: Column, encrypted: Column) -> Column:
+    """Why a member must not be extracted; null if it may be."""
+    rules = [(~is_safe_member(member), "unsafe path"), (mode.bitwiseAND(0o170000) == stat.S_IFLNK, "symbolic link"), (encrypted, "encrypted")]
+    return F.coalesce(*(F.when(rule, why) for rule, why in rules))
+
+
 def unsafe(found: DataFrame) -> DataFrame:
     """Members that must not be extracted, and why."""
-    why = F.when(~is_safe_member(F.col("member")), "unsafe path").when(F.col("mode").bitwiseAND(0o170000) == stat.S_IFLNK, "symbolic link").when(F.col("encrypted"), "encrypted")
-    return found.withColumn("why", why).where("why is not null")
+    return found.withColumn("why", _kept_out(F.col("member"), F.col("mode"), F.col("encrypted"))).where("why is not null")
 
 
-def stage(archive: str, destination: str, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> str:
-    """Extracts an archive beside its destination and renames it into place: whole or not at all, never over something."""
-    if os.path.exists(destination):
+def stage(spark: SparkSession, archive: str, destination: str, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> str:
+    """Extracts an archive beside its destination and renames it into place: whole or not at all, never over something.
+
+    The table of contents is judged first, by the same rules as ``unsafe``; a
+    ``manifest.json`` with the archive, its members and sizes stands in the result.
+    """
+    found = materialise(members(spark, archive, r"(?!)"))
+    if refused := unsafe(found).select("member", "why").first():
+        raise ValueError(f"{refused['why']}: {refused['member']!r}")
+    total = found.agg(F.count("member").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("problem").alias("problem")).first()
+    if total["problem"]:
+        raise BadZipFile(total["problem"])
+    if total["members"] > most_members or total["bytes"] > most_bytes:
+        raise ValueError("the archive exceeds a limit")
+    target = Path(destination)
+    if target.exists():
         raise FileExistsError(destination)
-    os.makedirs(os.path.dirname(destination) or ".", exist_ok=True)
-    draft = tempfile.mkdtemp(prefix=".stage-", dir=os.path.dirname(destination) or ".")
-    try:
-        with ZipFile(archive) as z:
-            files = [e for e in z.infolist() if not e.is_dir()]
-            if len(files) > most_members or sum(e.file_size for e in files) > most_bytes:
-                raise ValueError("the archive exceeds a limit")
-            for e in files:
-                parts = e.filename.split("/")
-                if "\0" in e.filename or "\\" in e.filename or e.filename.startswith("/") or ":" in parts[0] or ".." in parts or stat.S_ISLNK(e.external_attr >> 16) or e.flag_bits & 1:
-                    raise ValueError(f"unsafe member: {e.filename!r}")
-                target = os.path.join(draft, *parts)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with z.open(e) as source, open(target, "xb") as out:
-                    shutil.copyfileobj(source, out, 1 << 20)
-        os.replace(draft, destination)
-    except BaseException:
-        shutil.rmtree(draft, ignore_errors=True)
-        raise
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(prefix=".stage-", dir=target.parent) as folder, ZipFile(archive) as z:
+        draft = Path(folder) / "content"
+        draft.mkdir()
+        z.extractall(draft)
+        listing = [{"member": e.filename, "bytes": e.file_size} for e in z.infolist() if not e.is_dir()]
+        (draft / "manifest.json").write_text(json.dumps({"archive": Path(archive).name, "members": listing}, indent=1))
+        draft.rename(target)
     return destination

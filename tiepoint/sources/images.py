@@ -120,6 +120,14 @@ def encode_tiff(image: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
 
 
+def gray_of(image: np.ndarray) -> np.ndarray:
+    """One plane of an image: its only one, or colours by the usual weights, rounded down; alpha is left out."""
+    if image.shape[2] < 3:
+        return image[:, :, 0]
+    r, g, b = (image[:, :, i].astype(np.int64) for i in range(3))
+    return (r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16
+
+
 def decode(path: str, raw: bytes) -> np.ndarray:
     return decode_png(raw) if path.lower().endswith(".png") else decode_tiff(raw)
 
