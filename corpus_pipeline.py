@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document's tokens, with their digest and that of the decoded text."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=120_000)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=40_000)
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix_sources), ("tokens", tokenise)]
