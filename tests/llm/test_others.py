@@ -106,6 +106,14 @@ def test_pages(spark):
     assert html_blocks.extract(hard.limit(0)).count() == 0
 
 
+def test_pages_laid_out_as_tables():
+    text = "The old harbour was quiet in the morning, and few boats left. " * 6
+    model = html_blocks.trained()
+    plain = f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a><br><a href=3>About us</a></td><td><h1>Harbour</h1><p>{text}</p><p>{text}</p></td></tr></table>"
+    named = f"<table><tr><td class=menu><ul><li><a href=1>Home</a></li></ul></td><td class=article><p>{text}</p></td></tr><tr><td class=footer>&copy; 2020 Someone</td></tr></table>"
+    assert html_blocks.main_text([plain, named, ""], model) == [f"Harbour\n{text.strip()}\n{text.strip()}", text.strip(), ""]
+
+
 def test_page_blocks():
     page = "<HTML><head><title>t</title><script>x='<p>no</p>'</script></head><body><!-- <p>no --><nav><a href=\"a>b\">one</a></nav><p>a &amp; b<br>c<p> d\n\t e <b>f</b></div><ul><li>x<li>y</ul>tail"
     assert [p.text for p in html_blocks.pieces_of(page)] == ["one", "a & b c", "d e f", "x", "y", "tail"]

@@ -347,9 +347,20 @@ class Writer:
             body = self.tag("div", body, self.pick("content", "article", "post", "entry-content", "story", "post-body", "article-body", "main-content", "text"))
         if self.chance(0.25):
             body = self.tag(self.pick("main", "div", "section"), body, self.pick("", "wrap", "container", "page", "content"))
+        cells = self.chance(0.12)
         before = [self.junk(k) for k in ("notice", "header", "menu", "form", "ad", "sidebar") if self.chance(0.4)]
         after = [self.junk(k) for k in ("share", "comments", "sidebar", "ad", "menu", "form", "footer") if self.chance(0.4)]
         self.rng.shuffle(before)
+        if cells:  # laid out as a table: a cell of links beside the cell of the text, with or without names
+            named = self.chance(0.6)
+            side = self.tag("td", self.pick(self.links(int(self.rng.integers(2, 9))), "<br>".join(f"<a href='/{i}'>{self.words(2)}</a>" for i in range(int(self.rng.integers(2, 9))))), self.pick("menu", "nav", "left", "sidebar") if named else "")
+            text = self.tag("td", body if self.chance(0.4) else "".join(inside), self.pick("content", "main", "text", "article") if named else "")
+            rows = [self.tag("tr", side + text if self.chance(0.7) else text + side)]
+            if self.chance(0.3):
+                rows.insert(0, self.tag("tr", self.tag("td", html.escape(self.sentence(int(self.rng.integers(1, 5)))), self.pick("header", "banner", "logo"))))
+            if self.chance(0.3):
+                rows.append(self.tag("tr", self.tag("td", "&copy; " + html.escape(self.sentence(int(self.rng.integers(2, 9)))), self.pick("footer", "copyright", "legal"))))
+            body = self.tag("table", "".join(rows), self.pick("", "", "layout", "page"))
         page = f"<!DOCTYPE html><html><head><title>{self.words(3)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>" + "".join(before) + body + "".join(after)
         return page + ("</body></html>" if self.chance(0.8) else ""), main
 
