@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from tiepoint.plans import catalogue
+from tiepoint.plans import catalogue, files
 from twins import compare
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +19,11 @@ def test_twin(spark, name):
     assert compare(spark, SF, catalogue.QUERIES[name], catalogue.SQL[name]) > 0
 
 
+@pytest.mark.parametrize("name", sorted(files.SQL))
+def test_files(spark, name):
+    assert compare(spark, SF, files.QUERIES[name], files.SQL[name]) > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - SLOW))
 def test_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0

@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, with its lineage cut; without a folder a temporary one, but only in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; without one a temporary one, but only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

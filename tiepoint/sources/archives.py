@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import stat
 import tempfile
 from collections.abc import Iterator
 from itertools import batched
 from pathlib import Path
-from zipfile import BadZipFile, ZipFile
+from zipfile import ZIP_DEFLATED, BadZipFile, ZipFile
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,19 @@ def members(spark: SparkSession, path: str, texts: str = r"(?i)\.xml$") -> DataF
     return files.mapInArrow(run, "archive string, member string, size long, encrypted boolean, mode int, text string, problem string")
 
 
+def zipped(found: DataFrame) -> DataFrame:
+    """``product_id, band, content``: an archive of the rows ``archive, member, content``, as ``write_files`` takes it; one is as large as a task can hold."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with ZipFile(out, "w", ZIP_DEFLATED) as z:
+            for name, content in zip(table.column("member").to_pylist(), table.column("content").to_pylist(), strict=True):
+                z.writestr(name, content)
+        return pa.table({"product_id": table.column("archive").slice(0, 1), "band": pa.array([0], pa.int32()), "content": pa.array([out.getvalue()], pa.binary())})
+
+    return found.select("archive", "member", "content").groupBy("archive").applyInArrow(pack, "product_id string, band int, content binary")
+
+
 def member_planes(wanted: DataFrame) -> DataFrame:
     """Pixels of images inside archives: ``pair_id, band, y, x, v, valid`` and ``problem``, for rows ``pair_id, archive, member``.
 
