@@ -432,7 +432,7 @@ _XML = "concat('<a:Product xmlns:a=\"urn:x\"><a:start_date_time> ', strftime(o_o
 def xml_label_fields(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     xml = F.concat(F.lit('<a:Product xmlns:a="urn:x"><a:start_date_time> '), F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z </a:start_date_time><instrument_id>T"), (F.col("o_orderkey") % 5).cast("string"), F.lit("</instrument_id></a:Product>"))
-    return o.select("o_orderkey", labels.first_value(xml, "start_date_time").alias("start_date_time"), labels.first_value(xml, "INSTRUMENT_ID", any_case=True).alias("instrument_id"))
+    return o.select("o_orderkey", labels.label_fields(xml).alias("x")).select("o_orderkey", "x.start_date_time", "x.instrument_id")
 
 
 _CORNERS = " UNION ALL ".join(f"SELECT product_id, y, x, valid, v::INT AS g, {'least(fy + 1, 3)' if i else 'greatest(fy, 0)'}::INT AS ty, {'least(fx + 1, 3)' if j else 'greatest(fx, 0)'}::INT AS tx, {'py - fy' if i else '1 - (py - fy)'} AS wy, {'px - fx' if j else '1 - (px - fx)'} AS wx FROM q" for i in (0, 1) for j in (0, 1))

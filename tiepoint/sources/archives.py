@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions.classify import is_safe_member, stem
-from tiepoint.functions.labels import first_value, instant
+from tiepoint.functions.labels import instant, values
 from tiepoint.functions.session import materialise
 from tiepoint.sources.images import decode, gray_of
 
@@ -25,6 +25,8 @@ from tiepoint.sources.images import decode, gray_of
 BROWSE = r"(?i)(?:^|/)ch2_tmc_n[cr]([fna])_(\d{8}T\d+)_b_brw_([^/.]+)\.png$"
 #: Fixed value: how geolocation grids are named; level, view, time stamp and resolution.
 GRID = r"(?i)(?:^|/)ch2_tmc_n([cr])([fna])_(\d{8}T\d+)_g_grd_([^/.]+)\.csv$"
+#: What is read of a product's label.
+LABEL_VALUES = ("start_date_time", "stop_date_time", "logical_identifier", "records", "file_name")
 MOST_BYTES, MOST_MEMBERS = 20 << 30, 100_000
 
 
@@ -115,27 +117,26 @@ def _labelled(found: DataFrame, pattern: str) -> DataFrame:
     """Members that match, with the label of the same stem in the same archive and its start; others are left out."""
     images = found.where(F.col("member").rlike(pattern)).select("archive", "member", stem(F.col("member")).alias("stem"))
     labels = found.where(F.lower("member").endswith(".xml")).select("archive", stem(F.col("member")).alias("stem"), F.col("member").alias("label"), F.col("text").alias("xml"))
-    both = images.join(labels, ["archive", "stem"]).withColumn("acquisition_start", first_value(F.col("xml"), "start_date_time"))
+    both = images.join(labels, ["archive", "stem"]).withColumn("label_of", values(F.col("xml"), LABEL_VALUES))
+    both = both.withColumn("acquisition_start", F.col("label_of.start_date_time"))
     return both.where("acquisition_start is not null").withColumn("start", instant(F.col("acquisition_start")))
 
 
 def browse_products(found: DataFrame, data_level: str) -> DataFrame:
     """Browse images with readable labels, as products to be paired."""
-    xml = F.col("xml")
     part = lambda i: F.regexp_extract("member", BROWSE, i)
     return _labelled(found, BROWSE).select(
-        "archive", "member", F.lower(part(1)).alias("sensor_view"), "acquisition_start", first_value(xml, "stop_date_time").alias("acquisition_stop"), first_value(xml, "logical_identifier").alias("product_id"),
+        "archive", "member", F.lower(part(1)).alias("sensor_view"), "acquisition_start", F.col("label_of.stop_date_time").alias("acquisition_stop"), F.col("label_of.logical_identifier").alias("product_id"),
         part(3).alias("variant"), F.lit(data_level).alias("data_level"), F.year("start").alias("year"), "start",
     )
 
 
 def geolocation_grids(found: DataFrame) -> DataFrame:
     """Geolocation grids with their declared number of records."""
-    xml = F.col("xml")
     part = lambda i: F.regexp_extract("member", GRID, i)
     return _labelled(found, GRID).select(
-        F.col("member").alias("grid_id"), "archive", "label", F.lower(part(2)).alias("view"), part(1).alias("calibration"), part(4).alias("resolution"), first_value(xml, "logical_identifier").alias("product_id"),
-        first_value(xml, "records").try_cast("long").alias("records"), first_value(xml, "file_name").alias("file_name"), "start",
+        F.col("member").alias("grid_id"), "archive", "label", F.lower(part(2)).alias("view"), part(1).alias("calibration"), part(4).alias("resolution"), F.col("label_of.logical_identifier").alias("product_id"),
+        F.col("label_of.records").try_cast("long").alias("records"), F.col("label_of.file_name").alias("file_name"), "start",
     )
 
 
