@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.llm import bpe, linededup, mixing, nearcopies, quality
-from tiepoint.llm.common import checkpoint_dir, materialise, quoted, read_table
+from tiepoint.llm.common import checkpoint_dir, discard, materialise, quoted, read_table
 
 #: SQL cannot express the stages; their tests compare them with brute force.
 ORACLE_SQL = None
@@ -73,11 +73,18 @@ STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the session's shared folder and read again."""
+    """All stages over ``documents``, each written to the session's shared folder and read again.
+
+    A stage's folder is dropped once the next one is written; the last one stays, as the
+    result reads it.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{at}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            discard(spark, before)
+        before = out
     return docs

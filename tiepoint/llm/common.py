@@ -29,6 +29,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of a batch of rows on its way to Python.
 BATCH = "4m"
 
