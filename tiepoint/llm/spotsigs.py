@@ -88,7 +88,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     Equal fingerprints are one class. The others are partitioned by set length and
     meet where they share one of their rarest signatures, of which two alike sets must
-    share one; a pair is compared by Jaccard only if lengths allow it.
+    share one; a pair is compared by Jaccard only if what is left of both sets there, in
+    the order of rarity, can make them alike. Sets of a frequent chain and a tenth of
+    chains of their own so never meet at it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("sigs"))
     rows = materialise(rows.withColumn("fp", F.xxhash64("sigs")))
@@ -97,11 +99,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     common = each.groupBy("sig").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("fp").orderBy("df", "sig")
     prefix = each.join(common, "sig").withColumn("at", F.row_number().over(rarest)).where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1)
-    entered = prefix.select("fp", "n", "sig", length_partition(F.col("n"), similarity).alias("part"))
+    left = F.col("n") - F.col("at") + 1
+    entered = prefix.select("fp", "n", left.alias("left"), "sig", length_partition(F.col("n"), similarity).alias("part"))
     near = F.explode(F.array(F.col("part"), F.col("part") + 1))
-    a = entered.select(F.col("fp").alias("a"), F.col("n").alias("na"), "sig", near.alias("part"))
-    b = entered.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    bound = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
+    a = entered.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), "sig", near.alias("part"))
+    b = entered.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), "sig", "part")
+    bound = F.least("la", "lb") >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9
     pairs = a.join(b, ["part", "sig"]).where((F.col("a") != F.col("b")) & bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (sets.select(F.col("fp").alias(x), F.col("sigs").alias(f"s{x}")) for x in "ab")
     alike = pairs.join(left, "a").join(right, "b").where(likeness(F.col("sa"), F.col("sb")) >= similarity)
