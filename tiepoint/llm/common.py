@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -29,6 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files of plans that nothing refers to any more, which else lie until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared store that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -93,6 +100,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "hi")
         small = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(small.select("hi", F.col("m").alias("lo")))
         edges = materialise(small.distinct())
+        del both, least, large, small
+        release(edges.sparkSession)
         now = state(edges)
         if now == before:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoint.llm.common import bound_batches, connected_components, materialise
+from tiepoint.llm.common import bound_batches, connected_components, materialise, release
 from tiepoint.llm.simhash import fingerprint_from, links, shingle_hashes
 
 #: One text in so many is counted for the order, and so many shingles at most are put last.
@@ -120,6 +120,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
     few = wanted.count() <= FEW
     found = texts.join(F.broadcast(wanted) if few else wanted, "same").select("node", "text")
     sets = materialise(_sets(found, shingle).dropDuplicates(["node"]))
+    release(sets.sparkSession)
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
@@ -155,12 +156,16 @@ def groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFra
     first = {x: by_fp.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}")) for x in "ab"}
     close = links(by_fp.select("fp")).join(first["a"], "a").join(first["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     found = materialise(equal.unionByName(close))
+    del equal, close, first, by_fp
+    release(found.sparkSession)
 
     # what is left of the set at a shingle: it and all that follows it in the order
     two = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
     entries = nodes.select(F.posexplode("prefix").alias("at", "h"), "node", "n").select("h", "node", two.alias("x"))
     shared = materialise(entries.groupBy("h").count().where("count > 1").select("h"))
     open_ = materialise(entries.join(shared, "h").select("h", "node", F.shiftright("x", 32).cast("int").alias("n"), F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("left")))
+    del entries, shared
+    release(found.sparkSession)
     turn, before = 0, 0
     while True:
         # of what meets at a shingle, different groups only
@@ -175,11 +180,16 @@ def groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFra
         met = named.join(mixed.select("h"), "h", "left_semi")
         new = _confirmed(_led(met, turn), nodes, texts, shingle)
         found = materialise(found.unionByName(new).distinct())
+        del named, sizes, mixed, met, new
+        release(found.sparkSession)
         turn += 1
     open_ = materialise(named.join(mixed.select("h"), "h", "left_semi"))
     x, y = (open_.select("h", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("left").alias(f"left{e}"), F.col("root").alias(f"r{e}")) for e in "ab")
     rest = x.join(y, "h").where("ra < rb").where(_enough("na", "nb", "lefta", "leftb")).select("a", "b").distinct()
-    roots = connected_components(found.unionByName(_confirmed(rest, nodes, texts, shingle)))
+    found = materialise(found.unionByName(_confirmed(rest, nodes, texts, shingle)))
+    del x, y, rest, open_, named, sizes, mixed
+    release(found.sparkSession)
+    roots = connected_components(found)
     return nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
 
 
