@@ -25,7 +25,7 @@ def test_twins(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_queries_return_all_rows(spark, name):
-    table = "pages" if name.startswith("op7") else "documents"
+    table = "pages" if name.startswith("op7_") else "documents"
     assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiepoint.llm import bpe, html_blocks, language, linededup, mixing, ngram_lm, quality, simhash, spotsigs, topk
+from tiepoint.llm import bpe, divergence, html_blocks, language, linededup, mixing, ngram_lm, prefixtrie, quality, secretscan, simhash, spotsigs, topk
 from tiepoint.llm.common import read_table
 
 
@@ -57,7 +57,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_spotsigs, op2_lm_score, op3_line_dedup, op4_language_id, op5_simhash, op6_topk, op7_html, op8_bpe, op9_mixing, op10_quality)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.nodes(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_spotsigs, op2_lm_score, op3_line_dedup, op4_language_id, op5_simhash, op6_topk, op7_html, op8_bpe, op9_mixing, op10_quality, op11_divergence, op12_prefix_trie, op13_secrets)
 
 
 def queries() -> dict:
@@ -65,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op9_mixing": mixing.mix_sql(), "op6_topk": topk.top_k_sql()}
+    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op9_mixing": mixing.mix_sql(), "op6_topk": topk.top_k_sql(), "op11_divergence": divergence.audit_sql(), "op12_prefix_trie": prefixtrie.nodes_sql()}
