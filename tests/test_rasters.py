@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiepoint.operators import raster, refine, tiles
-from tiepoint.sources import archives, images, tables
+from tiepoint.sources import archives, arrays, images, tables
 
 
 def pixels(spark, a, product="p"):
@@ -123,13 +123,13 @@ def test_window_of_a_labelled_image(spark, tmp_path):
     (tmp_path / "i.bin").write_bytes(bytes(4) + np.arange(30, dtype="<u2").tobytes())
     label = tmp_path / "i.xml"
     label.write_text(LABEL.format(name="i.bin"))
-    got = images.read_window(spark, str(label), (2, 1, 3, 2))
+    got = arrays.read_window(spark, str(label), (2, 1, 3, 2))
     assert np.array_equal(image(got), np.arange(30).reshape(5, 6)[1:3, 2:5])
     assert [r["v"] for r in got.where("not valid").collect()] == [9.0]
     for bad, window in (("i.bin", (4, 0, 3, 1)), ("../i.bin", (0, 0, 1, 1))):
         label.write_text(LABEL.format(name=bad))
         with pytest.raises(Exception, match="window|unsafe"):
-            images.read_window(spark, str(label), window).collect()
+            arrays.read_window(spark, str(label), window).collect()
 
 
 def test_archives(spark, tmp_path):
@@ -170,7 +170,8 @@ def test_tables(spark, tmp_path):
 
 def test_image_sinks(spark, tmp_path, plane):
     made = images.whole_images(tiles.from_pixels(pixels(spark, plane), 16), size=16)
-    for _ in range(2):  # written again, it stays as it is
+    images.write_files(made, str(tmp_path / "out"), ".png")
+    with pytest.raises(Exception, match="there already"):
         images.write_files(made, str(tmp_path / "out"), ".png")
     (only,) = (tmp_path / "out").iterdir()
     assert np.array_equal(images.decode_png(only.read_bytes())[:, :, 0], plane)

@@ -19,8 +19,13 @@ CORR = [
     "(o_custkey % 11) / 10e0 AS confidence", "o_orderstatus <> 'F' AS inlier",
 ]
 RASTER = [
-    "concat('p', n_nationkey) AS product_id", "0 AS band", "cast(floor(i / 64e0) AS int) AS y", "cast(i % 64 AS int) AS x",
-    "cast(((i % 64) * 7 + floor(i / 64e0) * 13 + ((i % 64) * floor(i / 64e0)) % 17 + n_nationkey * 5) % 256 AS double) AS v", "(i + n_nationkey) % 31 <> 0 AS valid",
+    "concat('p', n) AS product_id", "0 AS band", "cast(floor(i / 64e0) AS int) AS y", "cast(i % 64 AS int) AS x",
+    "cast(((i % 64) * 7 + floor(i / 64e0) * 13 + ((i % 64) * floor(i / 64e0)) % 17 + o_custkey * 5) % 256 AS double) AS v", "(i + o_custkey) % 31 <> 0 AS valid",
+]
+#: A pixel for every order: planes of 32 x 32, two bands, nodata 0 where the order is pending.
+PLANES = [
+    "concat('s', o_orderkey // 1024) AS product_id", "cast(floor(o_orderkey % 1024 / 32e0) AS int) AS y", "cast(o_orderkey % 32 AS int) AS x",
+    "CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 + o_custkey % 60000 END AS a", "cast(cast(floor(o_totalprice * 100) AS bigint) % 65536 AS int) AS b", "o_orderstatus <> 'P' AS valid",
 ]
 BROWSE = [
     "concat('m', cast(event_id AS string)) AS member", "CASE event_type WHEN 'click' THEN 'f' WHEN 'view' THEN 'n' ELSE 'a' END AS sensor_view", "'b' AS variant", "cast(ts AS timestamp) AS start", "user_id AS owner",
@@ -35,7 +40,7 @@ MEMBERS = [
     "concat(CASE page_id % 5 WHEN 0 THEN 'data/calibrated/' WHEN 1 THEN 'browse/raw/' WHEN 2 THEN 'DATA/derived/' WHEN 3 THEN '' ELSE 'geometry/' END, 'f', cast(page_id AS string), CASE page_id % 6 WHEN 0 THEN '.img' WHEN 1 THEN '.PNG' WHEN 2 THEN '.xml' WHEN 3 THEN '.qub' WHEN 4 THEN '.csv' ELSE '.tif' END) AS member",
     "cast(length(html) AS bigint) AS size",
 ]
-VIEWS = {"corr": (CORR, "orders"), "raster": (RASTER, "(SELECT n_nationkey, i FROM nation, range(4096) t(i))"), "browse": (BROWSE, "(SELECT * FROM events WHERE event_type IN ('click', 'view', 'purchase'))"), "metric": (METRIC, "orders"), "members": (MEMBERS, "pages")}
+VIEWS = {"corr": (CORR, "orders"), "raster": (RASTER, "(SELECT o_orderkey // 1000 AS n, o_custkey, i FROM orders, range(4096) t(i) WHERE o_orderkey % 1000 = 0)"), "planes": (PLANES, "orders"), "browse": (BROWSE, "(SELECT * FROM events WHERE event_type IN ('click', 'view', 'purchase'))"), "metric": (METRIC, "orders"), "members": (MEMBERS, "pages")}
 
 #: Paths as product archives name them, for the classifiers.
 PATHS = [
@@ -48,12 +53,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     exprs, _ = VIEWS[name]
     if name == "raster":
-        base = read("nation").select("n_nationkey").crossJoin(F.broadcast(spark.range(4096).withColumnRenamed("id", "i")))  # 4096 rows
+        base = read("orders").where("o_orderkey % 1000 = 0").selectExpr("o_orderkey div 1000 AS n", "o_custkey").crossJoin(F.broadcast(spark.range(4096).withColumnRenamed("id", "i")))  # 4096 rows
     elif name == "browse":
         base = read("events").where("event_type IN ('click', 'view', 'purchase')")
     else:
-        base = read({"corr": "orders", "metric": "orders", "members": "pages"}[name])
-    return base.selectExpr(*exprs)
+        base = read({"corr": "orders", "metric": "orders", "planes": "orders", "members": "pages"}[name])
+    return base.selectExpr(*(e.replace("//", "DIV") for e in exprs))
 
 
 def sql(name: str) -> str:

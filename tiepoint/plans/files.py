@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions.session import shared_folder
 from tiepoint.operators import summary, tiles
 from tiepoint.plans import bridge
 from tiepoint.plans.bridge import view
-from tiepoint.sources import archives, images, tables
+from tiepoint.sources import archives, arrays, geotiff, images, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,9 +31,8 @@ _WITH = lambda name: "WITH " + bridge.sql(name)
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder among the session's shared ones, as a mounted path."""
-    root = shared_folder(spark)
-    return ("/" + root[5:].lstrip("/") if root.startswith("file:") else root) + f"/files-{uuid.uuid4().hex}"
+    """A new folder among the session's shared ones."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _named(path, suffix: str):
@@ -86,28 +86,112 @@ def tiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, view(spark, sf_dir, "raster").withColumn("v", F.col("v") * 200 + 0.5), "tif")
 
 
-_LABEL = (
-    "<p:Product xmlns:p='urn:x'><File_Area_Observational><File><file_name>{}_0.bin</file_name></File><Array_2D_Image><offset>0</offset><axis_index_order>Last Index Fastest</axis_index_order>"
-    "<Element_Array><data_type>UnsignedByte</data_type></Element_Array><Axis_Array><axis_name>Line</axis_name><elements>64</elements><sequence_number>1</sequence_number></Axis_Array>"
-    "<Axis_Array><axis_name>Sample</axis_name><elements>64</elements><sequence_number>2</sequence_number></Axis_Array><Special_Constants><missing>9</missing></Special_Constants></Array_2D_Image></File_Area_Observational></p:Product>"
-)
+def _axis(name: str, at: int, size: int) -> str:
+    return f"<Axis_Array><axis_name>{name}</axis_name><elements>{size}</elements><sequence_number>{at}</sequence_number></Axis_Array>"
+
+
+def _label(product: Column, element: str, axes: dict[str, int], special: int) -> Column:
+    """A label's text for the binary of ``product``; axes from the slowest."""
+    start, end = (
+        "<p:Product xmlns:p='urn:x'><File_Area_Observational><File><file_name>",
+        f"_0.bin</file_name></File><Array_{len(axes)}D_Image><offset>0</offset><axis_index_order>Last Index Fastest</axis_index_order><Element_Array><data_type>{element}</data_type></Element_Array>"
+        + "".join(_axis(n, i + 1, k) for i, (n, k) in enumerate(axes.items())) + f"<Special_Constants><missing_constant>{special}</missing_constant></Special_Constants></Array_{len(axes)}D_Image></File_Area_Observational></p:Product>",
+    )
+    return F.concat(F.lit(start), product, F.lit(end))
+
+
+def _written(files: DataFrame, folder: str, suffix: str, content: Column) -> None:
+    images.write_files(files.select("product_id", F.lit(0).alias("band"), content.cast("binary").alias("content")), folder, suffix)
+
+
+def _hex(values: Column, width: int) -> Column:
+    """Whole numbers as the bytes of one binary, high byte first."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2 * width, "0")), ""))
 
 
 @query(f"{_WITH('raster')} SELECT product_id, y - 7 AS y, x - 5 AS x, v, v <> 9 AS valid FROM raster WHERE x >= 5 AND x < 45 AND y >= 7 AND y < 37")
 def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same window of every product; each label is a source of its own."""
+    """The same window of every labelled product of a folder."""
     folder = _folder(spark)
-    px = view(spark, sf_dir, "raster").groupBy("product_id", F.lit(0).alias("band")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    binary = F.unhex(F.array_join(F.transform("p", lambda e: F.lpad(F.hex(e["v"].cast("long")), 2, "0")), ""))
-    images.write_files(px.select("product_id", "band", binary.alias("content")), folder, ".bin")
-    names = [r["product_id"] for r in px.select("product_id").collect()]  # a row per product
-    labels = [(n, 0, bytearray(_LABEL.format(n), "utf-8")) for n in names]
-    images.write_files(spark.createDataFrame(labels, "product_id string, band int, content binary"), folder, ".xml")
-    out = None
-    for n in names:
-        part = images.read_window(spark, f"{folder}/{n}_0.xml", (5, 7, 40, 30)).withColumn("product_id", F.lit(n))
-        out = part if out is None else out.unionAll(part)
-    return out
+    px = view(spark, sf_dir, "raster").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    _written(px, folder, ".bin", _hex(F.col("p.v"), 1))
+    _written(px, folder, ".xml", _label(F.col("product_id"), "UnsignedByte", {"Line": 64, "Sample": 64}, 9))
+    return arrays.read_window(spark, folder, (5, 7, 40, 30)).withColumn("product_id", _named(F.col("product_id"), ".xml"))
+
+
+#: The three orders in which cubes are usually stored, from the slowest axis.
+_ORDERS = (("Band", "Line", "Sample"), ("Line", "Band", "Sample"), ("Line", "Sample", "Band"))
+_FULL = lambda source: f"(SELECT * FROM {source} WHERE product_id IN (SELECT product_id FROM {source} GROUP BY 1 HAVING count(*) = 1024))"
+
+
+@query(f"""{_WITH('planes')}, cubes AS (SELECT product_id, y, x, unnest([a, b, (a + 2 * b) % 65536]) AS v, unnest([0, 1, 2]) AS band, a <> 0 AND b <> 0 AND (a + 2 * b) % 65536 <> 0 AS valid FROM {_FULL('planes')})
+SELECT product_id, band, y - 2 AS y, x - 3 AS x, v::DOUBLE AS v, valid FROM cubes WHERE band IN (0, 2) AND y BETWEEN 2 AND 26 AND x BETWEEN 3 AND 30""")
+def cube_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bands of a window of cubes whose axes are in any order; a pixel is valid if all bands are."""
+    folder = _folder(spark)
+    px = view(spark, sf_dir, "planes").withColumn("s", F.array("a", "b", F.expr("(a + 2 * b) % 65536")))
+    cubes = px.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "s"))).alias("p")).where(F.size("p") == 1024)
+    nth = F.substring("product_id", 2, 20).cast("int") % len(_ORDERS)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.slice(F.col("p.s"), y * 32 + 1, 32))
+    of = lambda part, b: F.transform(part, lambda s: F.get(s, F.lit(b)))
+    stored = {
+        0: F.flatten(F.array(*(of(F.col("p.s"), b) for b in range(3)))),
+        1: F.flatten(F.transform(lines, lambda line: F.flatten(F.array(*(of(line, b) for b in range(3)))))),
+        2: F.flatten(F.col("p.s")),
+    }
+    sizes = {"Band": 3, "Line": 32, "Sample": 32}
+    for i, order in enumerate(_ORDERS):
+        own = cubes.where(nth == i)
+        _written(own, folder, ".bin", _hex(stored[i], 2))
+        _written(own, folder, ".xml", _label(F.col("product_id"), "UnsignedMSB2", {a: sizes[a] for a in order}, 0))
+    found = arrays.pixels(arrays.layouts(spark, folder), (3, 2, 28, 25), (0, 2), lines_per_task=7)
+    return found.withColumn("product_id", _named(F.col("product_id"), ".xml"))
+
+
+def _geotiffs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a GeoTIFF of two bands for each product: tiles or strips, compressions, predictors, byte orders, places on the ground by turns."""
+    folder = _folder(spark)
+
+    def encode(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        name = table.column("product_id")[0].as_py()
+        n = int(name[1:])
+        image = np.zeros((32, 32, 2), np.uint16)
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        for i, c in enumerate("ab"):
+            image[y, x, i] = table.column(c).to_numpy()
+        kinds = (geotiff.NONE, geotiff.LZW, geotiff.DEFLATE, geotiff.PACKBITS)
+        side = 1.5 + n % 3
+        raw = geotiff.encode(
+            image, kinds[n % 4], predictor=1 + n % 2, tile=16 if n % 3 else None, rows=5, planar=n % 5 == 1, order="<>"[n % 7 == 2], big=n % 5 == 2,
+            transform=(side, 0.0, 1000.0 * n, 0.0, -side * (2 if n % 6 == 4 else 1), 500.0), epsg=32600 + n % 60 + 1 if n % 4 < 3 else 4326, projected=n % 4 < 3, nodata=0.0, tags={"instrument_id": f"cam{n % 3}"},
+        )
+        return pa.table({"product_id": pa.array([name]), "band": pa.array([0], pa.int32()), "content": pa.array([raw], pa.binary())})
+
+    px = view(spark, sf_dir, "planes").select("product_id", "y", "x", "a", "b")
+    images.write_files(px.groupBy("product_id").applyInArrow(encode, "product_id string, band int, content binary"), folder, ".tif")
+    return folder
+
+
+@query(f"{_WITH('planes')}, full_ AS (SELECT unnest(range(0, 1024)) AS i), every AS (SELECT p.product_id, (i // 32)::INT AS y, (i % 32)::INT AS x, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT DISTINCT product_id FROM planes) p, full_ LEFT JOIN planes q ON q.product_id = p.product_id AND q.y = i // 32 AND q.x = i % 32)"
+       " SELECT product_id, 1 AS band, y - 4 AS y, x - 3 AS x, b::DOUBLE AS v, a <> 0 AND b <> 0 AS valid FROM every WHERE y BETWEEN 4 AND 28 AND x BETWEEN 3 AND 22")
+def geotiff_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second band of a window of every file; blocks outside it are not read."""
+    found = geotiff.read(spark, _geotiffs(spark, sf_dir), (3, 4, 20, 25), (1,))
+    return found.withColumn("product_id", _named(F.col("product_id"), ".tif"))
+
+
+@query(f"""{_WITH('planes')}, n AS (SELECT product_id, substr(product_id, 2)::INT AS n FROM planes GROUP BY 1), g AS (SELECT *, 1.5 + n % 3 AS side FROM n)
+SELECT product_id, 32 AS width, 32 AS height, 2 AS bands, 'u16' AS dtype, CASE WHEN n % 4 < 3 THEN 'EPSG:' || (32601 + n % 60) ELSE 'EPSG:4326' END AS crs, 1000.0::DOUBLE * n AS west, side::DOUBLE AS side, 0::DOUBLE AS nodata, 'cam' || (n % 3) AS instrument,
+CASE WHEN n % 4 < 3 AND n % 6 <> 4 THEN side::DOUBLE END AS pixel_scale, CASE WHEN n % 4 < 3 AND n % 6 <> 4 THEN side::DOUBLE / 2 END AS metadata_scale_ratio FROM g""")
+def geotiff_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the directories say, and the scale against a reference of two metres."""
+    found = geotiff.headers(spark, _geotiffs(spark, sf_dir))
+    return found.select(
+        _named(F.col("product_id"), ".tif").alias("product_id"), "width", "height", "bands", "dtype", "crs", F.get("transform", F.lit(2)).alias("west"), F.get("transform", F.lit(0)).alias("side"), "nodata", F.col("tags")["instrument_id"].alias("instrument"),
+        "pixel_scale", geotiff.scale_ratio(F.col("pixel_scale"), F.lit(2.0)).alias("metadata_scale_ratio"),
+    )
 
 
 @query(f"""{_WITH('members')} SELECT archive, count(*) AS member_count, sum(size)::BIGINT AS uncompressed_bytes FROM members GROUP BY 1""")

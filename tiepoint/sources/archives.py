@@ -5,10 +5,9 @@ from __future__ import annotations
 import io
 import json
 import stat
-import tempfile
+import uuid
 from collections.abc import Iterator
 from itertools import batched
-from pathlib import Path
 from zipfile import ZIP_DEFLATED, BadZipFile, ZipFile
 
 import numpy as np
@@ -20,6 +19,7 @@ from tiepoint.functions.classify import is_safe_member, stem
 from tiepoint.functions.labels import instant, values
 from tiepoint.functions.session import materialise
 from tiepoint.sources.images import decode, gray_of
+from tiepoint.sources.store import place
 
 #: Fixed value: how browse images are named; view, time stamp and variant.
 BROWSE = r"(?i)(?:^|/)ch2_tmc_n[cr]([fna])_(\d{8}T\d+)_b_brw_([^/.]+)\.png$"
@@ -28,6 +28,10 @@ GRID = r"(?i)(?:^|/)ch2_tmc_n([cr])([fna])_(\d{8}T\d+)_g_grd_([^/.]+)\.csv$"
 #: What is read of a product's label.
 LABEL_VALUES = ("start_date_time", "stop_date_time", "logical_identifier", "records", "file_name")
 MOST_BYTES, MOST_MEMBERS = 20 << 30, 100_000
+#: Bytes of a member that a task holds while it extracts.
+PIECE = 8 << 20
+#: The files of a footprint.
+FOOTPRINT = (".shp", ".shx", ".dbf", ".prj", ".cpg")
 
 
 def _opened(path: str):
@@ -158,29 +162,77 @@ def unsafe(found: DataFrame) -> DataFrame:
     return found.withColumn("why", _kept_out(F.col("member"), F.col("mode"), F.col("encrypted"))).where("why is not null")
 
 
+def components(found: DataFrame, suffixes: tuple[str, ...] = FOOTPRINT) -> DataFrame:
+    """``archive, member, name, content`` of the members with one of the suffixes; unsafe ones are left out.
+
+    ``name`` is the archive's stem and the member's file name, as a sink takes it.
+    """
+    wanted = found.where(F.lower(F.concat(F.lit("."), F.substring_index("member", ".", -1))).isin(list(suffixes)) & _kept_out(F.col("member"), F.col("mode"), F.col("encrypted")).isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(name) as f, ZipFile(f) as z:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([z.read(member)], pa.binary())], ["archive", "member", "content"])
+
+    read = wanted.select("archive", "member").repartition("archive", "member").mapInArrow(run, "archive string, member string, content binary")
+    file = lambda c: F.substring_index(c, "/", -1)
+    return read.select("archive", "member", F.concat_ws("_", F.regexp_replace(file(F.col("archive")), r"(?i)\.zip$", ""), file(F.col("member"))).alias("name"), "content")
+
+
 def stage(spark: SparkSession, archive: str, destination: str, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> str:
     """Extracts an archive beside its destination and renames it into place: whole or not at all, never over something.
 
-    The table of contents is judged first, by the same rules as ``unsafe``; a
+    The table of contents is judged first, by the same rules as ``unsafe``. Members are
+    then extracted by many tasks, in pieces and into a folder of drafts, which is checked
+    against the table of contents and published by one renaming, or removed. A
     ``manifest.json`` with the archive, its members and sizes stands in the result.
     """
+    from pyarrow import fs
+
     found = materialise(members(spark, archive, r"(?!)"))
     if refused := unsafe(found).select("member", "why").first():
         raise ValueError(f"{refused['why']}: {refused['member']!r}")
-    total = found.agg(F.count("member").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("problem").alias("problem")).first()
+    total = found.agg(F.count("member").alias("members"), F.count_distinct("member").alias("names"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("problem").alias("problem")).first()
     if total["problem"]:
         raise BadZipFile(total["problem"])
     if total["members"] > most_members or total["bytes"] > most_bytes:
         raise ValueError("the archive exceeds a limit")
-    target = Path(destination)
-    if target.exists():
+    if total["names"] < total["members"]:
+        raise ValueError("two members have one name")
+    system, target = place(destination)
+    if system.get_file_info(target).type != fs.FileType.NotFound:
         raise FileExistsError(destination)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with tempfile.TemporaryDirectory(prefix=".stage-", dir=target.parent) as folder, ZipFile(archive) as z:
-        draft = Path(folder) / "content"
-        draft.mkdir()
-        z.extractall(draft)
-        listing = [{"member": e.filename, "bytes": e.file_size} for e in z.infolist() if not e.is_dir()]
-        (draft / "manifest.json").write_text(json.dumps({"archive": Path(archive).name, "members": listing}, indent=1))
-        draft.rename(target)
+    drafts = f"{destination.rstrip('/')}.drafts-{uuid.uuid4().hex}"
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = place(drafts)
+        for batch in batches:
+            sizes = []
+            for name, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part, whole = f"{base}/parts/{uuid.uuid4().hex}", f"{base}/content/{member}"
+                store.create_dir(f"{base}/parts", recursive=True)
+                with _opened(name) as f, ZipFile(f) as z, z.open(member) as source, store.open_output_stream(part) as out:
+                    while piece := source.read(PIECE):
+                        out.write(piece)
+                store.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                store.move(part, whole)  # a task that is tried again does it again
+                sizes.append(store.get_file_info(whole).size)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64())], ["member", "size"])
+
+    base = place(drafts)[1]
+    try:
+        listing = materialise(found.where("member is not null and member not like '%/'").select("archive", "member", "size"))
+        wrong = listing.select("archive", "member").repartition("member").mapInArrow(extract, "member string, size long").exceptAll(listing.select("member", "size")).first()
+        if wrong:
+            raise BadZipFile(f"{wrong['member']} has {wrong['size']} bytes, which its archive does not say")
+        system.create_dir(f"{base}/content", recursive=True)
+        rows = [{"member": r["member"], "bytes": r["size"]} for r in listing.select("member", "size").orderBy("member").toLocalIterator()]  # MOST_MEMBERS at most
+        with system.open_output_stream(f"{base}/content/manifest.json") as out:
+            out.write(json.dumps({"archive": archive.rstrip("/").rsplit("/", 1)[-1], "members": rows}, indent=1).encode())
+        system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        system.move(f"{base}/content", target)
+    finally:
+        if system.get_file_info(base).type == fs.FileType.Directory:
+            system.delete_dir(base)
     return destination

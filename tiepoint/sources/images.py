@@ -1,12 +1,12 @@
 """Raster files as tiles.
 
-Files are listed by Spark's ``binaryFile`` reader and decoded on the executors:
-uncompressed TIFF and PNG of 8 or 16 bits. Labelled raw binaries are read through
-their label, a range of lines at a time and only the lines and samples asked for.
+Files are listed by Spark's ``binaryFile`` reader and decoded on the executors. These
+readers take a file as a whole; ``geotiff`` and ``arrays`` read parts of large ones.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,21 +15,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tiepoint.operators.tiles import SCHEMA, SIZE
+from tiepoint.sources import geotiff, sinks
 
 MOST_BYTES, MOST_PIXELS = 2 << 30, 150_000_000
 SUFFIXES = (".png", ".tif", ".tiff")
-#: Element types of labelled arrays.
-ELEMENTS = {
-    "UnsignedByte": "u1", "SignedByte": "i1", "UnsignedLSB2": "<u2", "UnsignedMSB2": ">u2", "SignedLSB2": "<i2", "SignedMSB2": ">i2", "UnsignedLSB4": "<u4", "UnsignedMSB4": ">u4", "SignedLSB4": "<i4", "SignedMSB4": ">i4",
-    "IEEE754LSBSingle": "<f4", "IEEE754MSBSingle": ">f4", "IEEE754LSBDouble": "<f8", "IEEE754MSBDouble": ">f8",
-}
+
+
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of a PNG's lines; ``rows`` begin with the filter's number.
+
+    A byte depends on the one before, the one above and the one before that, so bytes of
+    one slanting line are worked out at once, whichever filters their lines have.
+    """
+    h, w = rows.shape[0], (rows.shape[1] - 1) // step
+    how, raw = rows[:, 0].astype(np.int32), rows[:, 1:].reshape(h, w, step).astype(np.int32)
+    if not np.isin(how, (0, 1, 2, 3, 4)).all():
+        raise ValueError("unknown PNG filter")
+    if not (how > 2).any() and not (how == 2).any():  # lines do not depend on each other
+        return np.where(how[:, None, None] == 1, np.cumsum(raw, axis=1) & 255, raw).astype(np.uint8).reshape(h, -1)
+    out = np.zeros((h + 1, w + 1, step), np.int32)
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h - 1, t) + 1)
+        x, kind = t - y, how[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + up - corner
+        near = np.abs(np.stack([guess - left, guess - up, guess - corner])).argmin(axis=0)  # the first of equal ones
+        paeth = np.choose(near, [left, up, corner])
+        out[y + 1, x + 1] = (raw[y, x] + np.choose(kind, [0, left, up, (left + up) // 2, paeth])) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, -1)
 
 
 def decode_png(raw: bytes) -> np.ndarray:
-    """Height, width, bands of a non-interlaced PNG of 8 or 16 bits; palettes become colours, gray with alpha becomes colour with alpha."""
+    """Height, width, bands of a non-interlaced PNG; palettes and single bits become colours, gray with alpha becomes colour with alpha.
+
+    Gray of 2 or 4 bits is spread over 0 to 255.
+    """
     at, data, palette = 8, [], None
     while at < len(raw):
         size, kind = struct.unpack(">I4s", raw[at : at + 8])
@@ -41,64 +63,35 @@ def decode_png(raw: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + size
-    if interlaced or depth not in (8, 16):
-        raise ValueError("only non-interlaced PNG of 8 or 16 bits")
+    if interlaced:
+        raise ValueError("only non-interlaced PNG")
     if w * h > MOST_PIXELS:
         raise ValueError(f"more than {MOST_PIXELS} pixels")
     bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = bands * depth // 8
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h + 1, w * step), np.int32)
-    for y in range(h):
-        how, line = rows[y, 0], rows[y, 1:].astype(np.int32)
-        up = out[y]
-        if how == 0:
-            out[y + 1] = line
-        elif how == 2:
-            out[y + 1] = (line + up) & 255
-        elif how == 1:
-            out[y + 1] = (np.cumsum(line.reshape(-1, step), axis=0) & 255).ravel()
-        else:
-            got = out[y + 1]
-            for i in range(len(line)):
-                a, b, c = (got[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
-                if how == 3:
-                    got[i] = (line[i] + (a + b) // 2) & 255
-                else:
-                    p = a + b - c
-                    near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                    got[i] = (line[i] + near) & 255
-    image = out[1:].astype(np.uint8)
-    image = image.view(">u2").astype(np.uint16) if depth == 16 else image
-    image = image.reshape(h, w, bands)
+    wide = -(-w * bands * depth // 8)
+    lines = _unfiltered(np.frombuffer(zlib.decompress(b"".join(data)), np.uint8, h * (1 + wide)).reshape(h, 1 + wide), max(1, bands * depth // 8))
+    if depth < 8:
+        image = (np.unpackbits(lines, axis=1)[:, : w * depth].reshape(h, w, depth) @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, :, None]
+        image = image if colour == 3 else image * np.uint8(255 // ((1 << depth) - 1))
+    else:
+        image = (lines.view(">u2").astype(np.uint16) if depth == 16 else lines).reshape(h, w, bands)
     if colour == 3:
         return palette[image[:, :, 0]]
+    if depth == 1:
+        return image[:, :, [0, 0, 0]]
     return image[:, :, [0, 0, 0, 1]] if colour == 4 else image
 
 
 def decode_tiff(raw: bytes) -> np.ndarray:
-    """Height, width, bands of an uncompressed TIFF in strips."""
-    order = {b"II": "<", b"MM": ">"}[raw[:2]]
-    (at,) = struct.unpack(order + "I", raw[4:8])
-    (n,) = struct.unpack(order + "H", raw[at : at + 2])
-    tags = {}
-    kinds = {1: "B", 3: "H", 4: "I", 16: "Q"}
-    for i in range(n):
-        tag, kind, count = struct.unpack(order + "HHI", raw[at + 2 + 12 * i : at + 10 + 12 * i])
-        if kind in kinds:
-            form = f"{order}{count}{kinds[kind]}"
-            size = struct.calcsize(form)
-            where = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", raw[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-            tags[tag] = struct.unpack(form, raw[where : where + size])
-    if tags.get(259, (1,))[0] != 1 or 322 in tags:
-        raise ValueError("only uncompressed TIFF in strips")
-    w, h, bands, bits = tags[256][0], tags[257][0], tags.get(277, (1,))[0], tags.get(258, (1,))[0]
-    if w * h > MOST_PIXELS:
-        raise ValueError(f"more than {MOST_PIXELS} pixels")
-    letter = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    data = b"".join(raw[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-    flat = np.frombuffer(data, np.dtype(f"{order}{letter}{bits // 8}"), w * h * bands)
-    return np.moveaxis(flat.reshape(bands, h, w), 0, 2) if tags.get(284, (1,))[0] == 2 else flat.reshape(h, w, bands)
+    """Height, width, bands of a TIFF file that is here as a whole."""
+    f = io.BytesIO(raw)
+    layout = geotiff.layout_of(geotiff.directory(f))
+    out = None
+    for nth in range(-(-layout["width"] // layout["block_w"]) * -(-layout["height"] // layout["block_h"])):
+        y, x, block = geotiff.read_block(f, layout, nth)
+        out = np.zeros((layout["height"], layout["width"], layout["bands"]), block.dtype) if out is None else out
+        out[y : y + block.shape[0], x : x + block.shape[1]] = block
+    return out.astype(out.dtype.newbyteorder("="))
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -110,14 +103,8 @@ def encode_png(image: np.ndarray) -> bytes:
 
 
 def encode_tiff(image: np.ndarray) -> bytes:
-    """An image of any numeric type as uncompressed TIFF, one strip."""
-    h, w = image.shape[:2]
-    bands = 1 if image.ndim == 2 else image.shape[2]
-    kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
-    body = np.ascontiguousarray(image).astype(image.dtype.newbyteorder("<")).tobytes()
-    tags = [(256, 4, w), (257, 4, h), (258, 3, image.dtype.itemsize * 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, bands), (278, 4, h), (279, 4, len(body)), (339, 3, kind)]
-    body += bytes(len(body) % 2)
-    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
+    """An image of any numeric type as uncompressed TIFF."""
+    return geotiff.encode(image, geotiff.NONE, tile=None, rows=image.shape[0])
 
 
 def gray_of(image: np.ndarray) -> np.ndarray:
@@ -182,99 +169,5 @@ def whole_images(tiles: DataFrame, kind: str = "png", size: int = SIZE, most_pix
 
 
 def write_files(files: DataFrame, folder: str, suffix: str) -> None:
-    """Each row's content as a file of a mounted folder, written beside its place and renamed; existing files are kept."""
-
-    def save(rows) -> None:
-        import os
-        import uuid
-
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            name = "".join(c if c.isalnum() or c in "-_." else "_" for c in f"{r['product_id']}_{r['band']}")
-            target = os.path.join(folder, name + suffix)
-            if not os.path.exists(target):
-                draft = f"{target}.{uuid.uuid4().hex}"
-                with open(draft, "wb") as f:
-                    f.write(r["content"])
-                os.replace(draft, target)
-
-    files.foreachPartition(save)
-
-
-class LabelledLines(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
-
-
-class LabelledReader(DataSourceReader):
-    """Lines of an uncompressed two-dimensional array beside its XML label."""
-
-    def __init__(self, options: dict):
-        import os
-        from xml.etree import ElementTree
-
-        label = options["path"]
-        local = lambda e: e.tag.rsplit("}", 1)[-1]
-        child = lambda e, n: next((c for c in e if local(c) == n), None)
-        text = lambda e, n: (c.text or "").strip() if e is not None and (c := child(e, n)) is not None else ""
-        root = ElementTree.parse(label).getroot()
-        area = next((a for a in root.iter() if local(a).startswith("File_Area") and child(a, "File") is not None and child(a, "Array_2D_Image") is not None), None)
-        if area is None:
-            raise ValueError("the label has no two-dimensional image")
-        array, name = child(area, "Array_2D_Image"), text(child(area, "File"), "file_name")
-        if not name or "\\" in name or name.startswith("/") or ":" in name or ".." in name.split("/"):
-            raise ValueError(f"unsafe file name in the label: {name!r}")
-        if text(array, "axis_index_order") != "Last Index Fastest":
-            raise ValueError("only arrays whose last index is fastest")
-        axes = {text(a, "axis_name").lower(): (int(text(a, "sequence_number")), int(text(a, "elements"))) for a in array if local(a) == "Axis_Array"}
-        if set(axes) != {"line", "sample"} or axes["line"][0] != 1 or axes["sample"][0] != 2:
-            raise ValueError("the axes must be line, then sample")
-        kind = text(child(array, "Element_Array"), "data_type")
-        if kind not in ELEMENTS:
-            raise ValueError(f"unsupported element type: {kind}")
-        self.binary, self.offset, self.dtype = os.path.join(os.path.dirname(label), name), int(text(array, "offset")), ELEMENTS[kind]
-        self.lines, self.samples = axes["line"][1], axes["sample"][1]
-        constants = child(array, "Special_Constants")
-        self.special = [float(c.text) for c in (constants if constants is not None else []) if c.text]
-        if self.offset < 0 or os.path.getsize(self.binary) < self.offset + self.lines * self.samples * np.dtype(self.dtype).itemsize:
-            raise ValueError("the binary is shorter than its label says")
-        x, y, w, h = (int(v) for v in options["window"].split(",")) if "window" in options else (0, 0, self.samples, self.lines)
-        if min(x, y) < 0 or min(w, h) < 1 or x + w > self.samples or y + h > self.lines:
-            raise ValueError("the window lies outside the image")
-        self.window, self.step = (x, y, w, h), int(options.get("lines_per_task", "256"))
-
-    def partitions(self):
-        _, y, _, h = self.window
-        return [LabelledLines(a, min(y + h, a + self.step)) for a in range(y, y + h, self.step)]
-
-    def read(self, partition: LabelledLines):
-        x, y, w, _ = self.window
-        kind = np.dtype(self.dtype)
-        with open(self.binary, "rb") as f:
-            for line in range(partition.first, partition.last):
-                f.seek(self.offset + (line * self.samples + x) * kind.itemsize)
-                v = np.frombuffer(f.read(w * kind.itemsize), kind)
-                good = np.isfinite(v) & ~np.isin(v, self.special)
-                for i in range(w):
-                    yield line - y, i, float(v[i]), bool(good[i])
-
-
-class LabelledImage(DataSource):
-    """``spark.read.format("labelled_image").option("window", "x,y,w,h").load(label)``: pixels ``y, x, v, valid`` of the window."""
-
-    @classmethod
-    def name(cls):
-        return "labelled_image"
-
-    def schema(self):
-        return "y int, x int, v double, valid boolean"
-
-    def reader(self, schema):
-        return LabelledReader(self.options)
-
-
-def read_window(spark: SparkSession, label: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Pixels of a labelled image's window; only its bytes are read, a range of lines in each task."""
-    spark.dataSource.register(LabelledImage)
-    reader = spark.read.format("labelled_image")
-    return (reader.option("window", ",".join(map(str, window))) if window else reader).load(label)
+    """Each row's content as a file ``<product>_<band><suffix>`` of a folder of any store, all of them or none; see ``sinks.write``."""
+    sinks.write(files.select(F.concat_ws("_", F.col("product_id").cast("string"), F.col("band").cast("string")).alias("name"), "content"), folder, suffix)
