@@ -11,7 +11,7 @@ from tiepoint.plans import catalogue, files
 from twins import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"register_end_to_end"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))

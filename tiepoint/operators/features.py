@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiepoint.operators.suppression import keep_apart
 from tiepoint.operators.tiles import SIZE, SOBEL_X, correlate, with_borders
 
 REACH = 12
@@ -77,6 +78,5 @@ def extract(tiles: DataFrame, most: int = 6000, size: int = SIZE, mask: bool = T
 
 
 def spaced(keypoints: DataFrame, apart: float) -> DataFrame:
-    """The strongest keypoint of every square of that side: corners that do not crowd."""
-    cell = Window.partitionBy("product_id", F.floor(F.col("y") / apart), F.floor(F.col("x") / apart)).orderBy(F.desc("response"), "kp_id")
-    return keypoints.withColumn("nth", F.row_number().over(cell)).where("nth = 1").drop("nth")
+    """The strongest keypoints of which no two are nearer than that."""
+    return keep_apart(keypoints, apart)

@@ -42,11 +42,12 @@ MEMBERS = [
 ]
 VIEWS = {"corr": (CORR, "orders"), "raster": (RASTER, "(SELECT o_orderkey // 1000 AS n, o_custkey, i FROM orders, range(4096) t(i) WHERE o_orderkey % 1000 = 0)"), "planes": (PLANES, "orders"), "browse": (BROWSE, "(SELECT * FROM events WHERE event_type IN ('click', 'view', 'purchase'))"), "metric": (METRIC, "orders"), "members": (MEMBERS, "pages")}
 
-#: Paths as product archives name them, for the classifiers.
+#: Paths as product archives name them, for the classifiers; # is a customer's number.
 PATHS = [
-    "raw2/OHRC/ch2_ohr_ncp_20200827_d_img.zip", "data/tmc/ch2_tmc_nrf_20191015_b_brw_d18.png", "IIRS/ch2_iir_nri_20210622_d_img.qub", "samples/synthetic_source.png", "a/sample/ohrc.png", "mixed/ohrc_vs_tmc-2.tif",
-    "plain/file.tif", "x/tmc2.tif", "x/tmcs.tif", "derived/iir.img", "calibrated/raw/y.img", "Processed/z.img", "../evil", "/abs/path", "C:/win", "ok\\bad", "a/../b", "noext", "dir.d/noext", ".hidden", "archive.tar.gz", "iirs/TMC_1.zip",
+    "raw2/OHRC/ch2_ohr_ncp_#_d_img.zip", "data/tmc/ch2_tmc_nrf_#_b_brw_d18.png", "IIRS/ch2_iir_nri_#_d_img.qub", "samples/synthetic_source#.png", "a/sample/ohrc#.png", "mixed/ohrc_vs_tmc-2_#.tif",
+    "plain/file#.tif", "x/tmc2_#.tif", "x/tmcs#.tif", "derived/#/iir.img", "calibrated/raw/#.img", "Processed/#.img", "../evil#", "/abs/path#", "C:/win#", "ok\\bad#", "a#/../b", "noext#", "dir.d/noext#", ".hidden#", "archive#.tar.gz", "iirs/TMC_#.zip",
 ]
+_PATH = f"CASE o_orderkey % {len(PATHS)} " + " ".join(f"WHEN {i} THEN replace('{p}', '#', cast(o_custkey AS string))" for i, p in enumerate(PATHS)) + " END"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +68,10 @@ def sql(name: str) -> str:
     return f"{name} AS (SELECT {', '.join(exprs)} FROM {table})".replace("AS string)", "AS varchar)")
 
 
-def paths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string")
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for every order."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr(_PATH.replace("\\", "\\\\")).alias("path"))
 
 
 def paths_sql() -> str:
-    return "paths(path) AS (VALUES " + ", ".join("('" + p + "')" for p in PATHS) + ")"
+    return f"paths AS (SELECT {_PATH.replace('AS string', 'AS varchar')} AS path FROM orders)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions import classify, geometry, labels
-from tiepoint.operators import descriptors, matches, pairing, points, ransac, raster, refine, summary, tiles
+from tiepoint.operators import descriptors, features, matches, pairing, points, quantiles, ransac, raster, refine, summary, tiles
 from tiepoint.plans import bridge
 from tiepoint.plans.bridge import HEIGHT, SHIFT, WIDTH, view
 
@@ -196,27 +196,27 @@ _HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(path), '{p}
 
 @query(f"WITH {bridge.paths_sql()}, h AS (SELECT path, {_HITS} AS hits, contains(lower(path), 'synthetic') OR list_contains(string_split(path, '/'), 'sample') AS syn FROM paths) SELECT path, CASE WHEN NOT syn AND len(hits) = 1 THEN hits[1] ELSE 'UNKNOWN' END AS sensor, CASE WHEN NOT syn AND len(hits) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN syn THEN 'synthetic' WHEN len(hits) = 1 THEN 'product identifier' WHEN len(hits) > 1 THEN 'conflicting identifiers' ELSE 'no identifier' END AS evidence FROM h")
 def classify_sensor(spark, sf_dir):
-    return bridge.paths(spark).select("path", classify.sensor_of_path(F.col("path")).alias("s")).select("path", "s.*")
+    return bridge.paths(spark, sf_dir).select("path", classify.sensor_of_path(F.col("path")).alias("s")).select("path", "s.*")
 
 
 @query(f"WITH {bridge.paths_sql()} SELECT path, {_pattern_cases(classify.ARCHIVE_PATTERNS, 'lower(path)')} AS sensor FROM paths")
 def classify_archive(spark, sf_dir):
-    return bridge.paths(spark).select("path", classify.sensor_of_archive(F.col("path"), F.array().cast("array<string>")).alias("sensor"))
+    return bridge.paths(spark, sf_dir).select("path", classify.sensor_of_archive(F.col("path"), F.array().cast("array<string>")).alias("sensor"))
 
 
 @query(f"WITH {bridge.paths_sql()} SELECT path, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(path), '{x}')" for x in parts) + f" THEN '{s}'" for s, parts in classify.INVENTORY_PARTS.items()) + " END AS sensor FROM paths")
 def classify_inventory(spark, sf_dir):
-    return bridge.paths(spark).select("path", classify.sensor_of_file(F.col("path")).alias("sensor"))
+    return bridge.paths(spark, sf_dir).select("path", classify.sensor_of_file(F.col("path")).alias("sensor"))
 
 
 @query(f"WITH {bridge.paths_sql()} SELECT path, CASE " + " ".join(f"WHEN list_contains(string_split(lower(path), '/'), '{x}') THEN '{x}'" for x in classify.LEVELS) + " ELSE 'unknown' END AS data_level FROM paths")
 def data_level(spark, sf_dir):
-    return bridge.paths(spark).select("path", classify.data_level(F.array("path")).alias("data_level"))
+    return bridge.paths(spark, sf_dir).select("path", classify.data_level(F.array("path")).alias("data_level"))
 
 
 @query(f"WITH {bridge.paths_sql()} SELECT path, NOT (contains(path, '\\') OR starts_with(path, '/') OR regexp_matches(path, '^[A-Za-z]:') OR list_contains(string_split(path, '/'), '..')) AS safe, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM paths")
 def path_safety(spark, sf_dir):
-    return bridge.paths(spark).select("path", classify.is_safe_member(F.col("path")).alias("safe"), classify.suffix(F.col("path")).alias("suffix"))
+    return bridge.paths(spark, sf_dir).select("path", classify.is_safe_member(F.col("path")).alias("safe"), classify.suffix(F.col("path")).alias("suffix"))
 
 
 _SUFFIX = "lower(regexp_extract(member, '[^/](\\.[^./]+)$', 1))"
@@ -450,17 +450,47 @@ def clahe_planes(spark, sf_dir):
     return raster.clahe(view(spark, sf_dir, "raster"), tiles=4).select("product_id", "y", "x", "v")
 
 
-@query()
+@query("SELECT 'r' || (o_orderkey // 1500) AS pair_id, 'completed' AS status, TRUE AS enough, TRUE AS clean, 7::DOUBLE AS dx, -4::DOUBLE AS dy FROM orders GROUP BY ALL HAVING count(*) = 1500")
 def register_end_to_end(spark, sf_dir):
-    """Generated pairs, one for each region, registered from pixels to metrics."""
+    """Pairs of images whose blocks of 6 x 6 pixels are 1 500 orders each, one moved by (7, -4), registered from pixels to metrics."""
     from tiepoint.plans import registration
 
-    names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").orderBy("r_name").collect()]
-    found = registration.register(*registration.terrain(spark, names), registration.Config(geometry_model="affine"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey DIV 1500").alias("n"), (F.col("o_orderkey") % 1500).alias("k"), F.floor(F.col("o_totalprice") * 100).alias("price"))
+    full = o.groupBy("n").agg(F.count("*").alias("orders")).where("orders = 1500").select("n")
+    inside = lambda c: F.explode(F.sequence(F.lit(0), F.lit(5))).alias(c)
+    px = o.join(full, "n").select(F.concat(F.lit("r"), F.col("n").cast("string")).alias("pair_id"), "k", (F.col("price") % 256).cast("double").alias("v"), inside("dy")).select("*", inside("dx"))
+    px = px.select("pair_id", (F.expr("k DIV 50") * 6 + F.col("dy")).cast("int").alias("py"), (F.col("k") % 50 * 6 + F.col("dx")).cast("int").alias("px"), "v")
+
+    def side(top: int, left: int) -> DataFrame:
+        placed = px.select("pair_id", F.lit(0).alias("band"), (F.col("py") - top).alias("y"), (F.col("px") - left).alias("x"), "v", F.lit(True).alias("valid"))
+        return placed.where("y between 0 and 159 and x between 0 and 279")
+
+    found = registration.register(side(10, 10), side(14, 3), registration.Config(geometry_model="affine"))
     moves = found["transforms"].select("pair_id", F.round(F.get("m", F.lit(2)), 0).alias("dx"), F.round(F.get("m", F.lit(5)), 0).alias("dy"))
     return found["metrics"].select("pair_id", "status", (F.col("inliers") > 30).alias("enough"), (F.col("inlier_ratio") > 0.7).alias("clean")).join(moves, "pair_id")
 
 
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey // 1024 AS product, o_orderkey AS id, o_custkey % 997 / 7e0 AS x, floor(o_totalprice) % 389 / 3e0 AS y, row_number() OVER (PARTITION BY o_orderkey // 1024 ORDER BY floor(o_totalprice) % 97 DESC, o_orderkey) AS n FROM orders),
+walk AS (SELECT product, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE, id BIGINT)[] AS kept FROM p GROUP BY 1
+UNION ALL SELECT w.product, p.n, CASE WHEN len(list_filter(kept, lambda k: (k.x - p.x) * (k.x - p.x) + (k.y - p.y) * (k.y - p.y) < 36)) = 0 THEN list_append(kept, {'x': p.x, 'y': p.y, 'id': p.id}) ELSE kept END FROM walk w JOIN p ON p.product = w.product AND p.n = w.n + 1),
+ends AS (SELECT product, max(n) AS n FROM walk GROUP BY 1)
+SELECT 's' || product AS product_id, unnest(kept).id AS kp_id FROM walk JOIN ends USING (product, n)""")
+def spaced_keypoints(spark, sf_dir):
+    """Points of which no two are nearer than 6, the strongest first; many are equally strong."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.floor("o_totalprice")
+    k = o.select(F.concat(F.lit("s"), F.expr("o_orderkey DIV 1024").cast("string")).alias("product_id"), F.col("o_orderkey").alias("kp_id"), (F.col("o_custkey") % 997 / F.lit(7.0)).alias("x"), (price % 389 / F.lit(3.0)).alias("y"), (price % 97).cast("double").alias("response"))
+    return features.spaced(k, 6.0).select("product_id", "kp_id")
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS product_id, o_totalprice AS v FROM orders UNION ALL SELECT 'all', o_totalprice FROM orders)
+SELECT product_id, round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.99), 6) AS p99, max(v) AS p100 FROM o GROUP BY 1""")
+def exact_percentiles(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("product_id"), F.col("o_totalprice").alias("v"))
+    found = quantiles.percentiles(o.unionAll(o.withColumn("product_id", F.lit("all"))), ["product_id"], "v", (0.01, 0.05, 0.5, 0.99, 1.0))
+    return found.select("product_id", *(F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p1", "p5", "p50", "p99", "p100"))))
+
+
 @query("WITH c AS (SELECT o_orderpriority AS pair_id, o_custkey % 5 AS source_level, o_orderkey % 5 AS reference_level, count(*) AS inliers FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2, 3) SELECT pair_id, source_level, reference_level, inliers FROM c QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY inliers DESC, source_level, reference_level) = 1")
 def best_level(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'F'")
@@ -483,11 +513,11 @@ def level_rescale(spark, sf_dir):
     return matches.rescale(view(spark, sf_dir, "corr"), (2.0, 2.0), (4.0, 4.0)).select("pair_id", "match_id", "source_x", "source_y", "reference_x", "reference_y").withColumns(r6("reference_x", "reference_y"))
 
 
-@query(f"{_WITH('raster')} SELECT a.product_id, a.y, a.x, cast(round_even((a.v + b.v) / 2, 0) AS int) AS v FROM raster a JOIN raster b ON a.y = b.y AND a.x = b.x AND b.product_id = 'p' || ((a.product_id[2:]::INT + 1) % 25)")
+@query(f"{_WITH('raster')} SELECT a.product_id, a.y, a.x, cast(round_even((a.v + b.v) / 2, 0) AS int) AS v FROM raster a JOIN raster b ON a.y = b.y AND a.x = b.x AND b.product_id = concat('p', cast(substr(a.product_id, 2) AS int) + 1)")
 def overlay_planes(spark, sf_dir):
     """Every product with the next one."""
     px = view(spark, sf_dir, "raster")
-    before = (F.substring("product_id", 2, 9).cast("int") + 24) % 25
+    before = F.substring("product_id", 2, 9).cast("int") - 1
     return raster.overlay(px, px.withColumn("product_id", F.concat(F.lit("p"), before.cast("string"))), ["product_id"])
 
 
