@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions import classify, geometry, labels
-from tiepoint.operators import descriptors, features, matches, pairing, points, quantiles, ransac, raster, refine, summary, tiles
+from tiepoint.operators import descriptors, matches, pairing, points, quantiles, ransac, raster, refine, summary, suppression, tiles
 from tiepoint.plans import bridge
 from tiepoint.plans.bridge import HEIGHT, SHIFT, WIDTH, view
 
@@ -480,7 +480,7 @@ def spaced_keypoints(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     price = F.floor("o_totalprice")
     k = o.select(F.concat(F.lit("s"), F.expr("o_orderkey DIV 1024").cast("string")).alias("product_id"), F.col("o_orderkey").alias("kp_id"), (F.col("o_custkey") % 997 / F.lit(7.0)).alias("x"), (price % 389 / F.lit(3.0)).alias("y"), (price % 97).cast("double").alias("response"))
-    return features.spaced(k, 6.0).select("product_id", "kp_id")
+    return suppression.keep_apart(k, 6.0).select("product_id", "kp_id")
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS product_id, o_totalprice AS v FROM orders UNION ALL SELECT 'all', o_totalprice FROM orders)
