@@ -32,3 +32,23 @@ def test_against_brute_force(spark):
         seen |= set(t.split("\n"))
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: [x for x in r["text"].split("\n") if len(x.split()) >= 5] for r in got} == want
+
+
+@pytest.mark.parametrize("copies", [900, 1100])
+def test_how_often_a_line_occurs_changes_nothing(spark, copies):
+    block = f"{L}\nshort one\n{M}"
+    docs = spark.createDataFrame([(i, f"own words of document number {i}\n{block}\nits end") for i in range(copies)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert got[0].count(block) == 1 and all(got[i] == f"own words of document number {i}" for i in range(1, copies))
+
+
+def test_a_long_document_whose_lines_many_others_share(spark):
+    import time
+
+    lines = [f"line number {i} of a long document" for i in range(50_000)]
+    docs = [(0, "\n".join(lines))] + [(i, f"{lines[i * 7]}\nwords that only number {i} has\n{lines[i * 9]}") for i in range(1, 5001)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert got[0] == docs[0][1] and all(got[i] == f"words that only number {i} has" for i in range(1, 5001))
+    assert time.time() - began < 60

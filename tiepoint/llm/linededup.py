@@ -1,12 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line of several words meet through that line's hash: each
+Documents that share a line of several words meet through that line's hash: each
 is paired with the earliest document that has the line. A pair's lines are aligned with
 patience diff, and aligned blocks that hold such a line are deleted from the later
-document; so are such lines that the alignment does not reach. A line that is not rare
-brings no documents together, as all that have it would be aligned with one; it is
-deleted wherever an earlier document has it.
-The earliest document that has a line keeps it.
+document; so are such lines that the alignment does not reach. The earliest document
+that has a line keeps it. How often a line occurs changes nothing: documents that are
+paired with one come to it in groups of bounded size, which read its lines once, and an
+alignment looks at the lines only that both have.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from tiepoint.llm.common import WORD, bound_batches, materialise, quoted
 
 #: Words that a line must have to bring two documents together, and a block to be deleted.
 MIN_WORDS = 5
-#: Times that a line may occur and be rare.
-RARE = 1000
+#: Documents that meet an earlier one in one group.
+GROUP = 256
 #: Times that gaps are aligned within gaps; what is left then is taken line by line.
 DEPTH = 50
 _LAST = (1 << 63) - 1
@@ -74,17 +74,37 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(later: list, earlier: list, worth: list[bool]) -> list[int]:
+class Earlier:
+    """The lines of a document that others are compared with."""
+
+    def __init__(self, lines: list) -> None:
+        self.lines = lines
+        self.places: dict = {}
+        for j, x in enumerate(lines):
+            self.places.setdefault(x, []).append(j)
+        self.neighbours: dict = {}
+        for j, x in enumerate(zip(lines, lines[1:], strict=False)):
+            self.neighbours.setdefault(x, j)
+
+    def align(self, later: list) -> list[tuple[int, int]]:
+        """``align`` of the lines that both have, by their places in the whole documents."""
+        i = [p for p, x in enumerate(later) if x in self.places]
+        j = sorted(q for x in {later[p] for p in i} for q in self.places[x])
+        return [(i[p], j[q]) for p, q in align([later[p] for p in i], [self.lines[q] for q in j])]
+
+
+def common_blocks(later: list, earlier: Earlier | list, worth: list[bool]) -> list[int]:
     """Positions in ``later`` of aligned blocks that hold a line worth deleting.
 
     Such lines that the alignment leaves, because they were moved or stand there
     twice, are then taken one by one with their surroundings, so that no line worth
     deleting is left that ``earlier`` has.
     """
+    earlier = earlier if isinstance(earlier, Earlier) else Earlier(earlier)
     gone: list[int] = []
     block: list[int] = []
     before = None
-    for i, j in [*align(later, earlier), (-1, -1)]:
+    for i, j in [*earlier.align(later), (-1, -1)]:
         if before is None or (i, j) != (before[0] + 1, before[1] + 1):
             if any(worth[p] for p in block):
                 gone += block
@@ -97,13 +117,12 @@ def common_blocks(later: list, earlier: list, worth: list[bool]) -> list[int]:
     return sorted(gone + [left[i] for i in rest])
 
 
-def _by_line(a: list, b: list, worth: list[bool]) -> set[int]:
-    """Positions in ``a`` of all lines worth deleting that ``b`` has, with the lines around them that also stand around a copy."""
-    known = set(b)
-    before = {x: j for j, x in reversed(list(enumerate(zip(b, b[1:], strict=False))))}
+def _by_line(a: list, earlier: Earlier, worth: list[bool]) -> set[int]:
+    """Positions in ``a`` of all lines worth deleting that ``earlier`` has, with the lines around them that also stand around a copy."""
+    b, before = earlier.lines, earlier.neighbours
     gone: set[int] = set()
     for p, x in enumerate(a):
-        if not worth[p] or x not in known or p in gone:
+        if not worth[p] or x not in earlier.places or p in gone:
             continue
         gone.add(p)
         for step in (-1, 1):
@@ -122,7 +141,7 @@ def _order_of(id_col: str, text: Column) -> Column:
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("same"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group: int = GROUP) -> DataFrame:
     """``doc, gone``: for each document that loses lines, by ``_order_of``, their positions."""
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -131,24 +150,34 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialise(rows.where(F.exists("worth", lambda x: x)))
     if not rows.groupBy("doc").count().where("count > 1").isEmpty():
         rows = materialise(rows.dropDuplicates(["doc"]))
-    each = rows.select("doc", F.explode(F.transform(F.arrays_zip("lines", "worth"), lambda x, i: F.struct(F.when(x["worth"], x["lines"]).alias("line"), i.alias("at")))).alias("x"))
-    each = each.where("x.line is not null").select("doc", "x.line", "x.at")
+    each = rows.select("doc", F.explode(F.array_distinct(F.filter(F.transform(F.arrays_zip("lines", "worth"), lambda x: F.when(x["worth"], x["lines"])), lambda x: x.isNotNull()))).alias("line"))
     # written before the join, so that a line of very many documents can be dealt to several tasks there
-    owners = each.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).where("owner < last")
-    owners = materialise(owners.select("line", "owner", (F.col("n") <= rare).alias("rare")))
-    found = each.join(owners, "line").where("owner < doc")
-    pairs = found.where("rare").select("doc", "owner").distinct()
-    earlier = rows.select(F.col("doc").alias("owner"), F.col("lines").alias("earlier"))
-    both = pairs.join(earlier, "owner").join(rows, "doc").select("doc.key", "doc.same", "lines", "earlier", "worth")
+    owners = materialise(each.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("line", "owner"))
+    pairs = materialise(each.join(owners, "line").where("owner < doc").select("doc", "owner").distinct())
+    # an earlier document of many others gets several groups of them
+    many = pairs.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > group).select("owner", F.ceil(F.col("n") / group).cast("int").alias("parts"))
+    dealt = pairs.join(many, "owner", "left").select("owner", "doc", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).alias("part"))
+    dealt = materialise(dealt)
+    heads = dealt.select("owner", "part").distinct().join(rows.select(F.col("doc").alias("owner"), "lines"), "owner")
+    heads = heads.select("owner", "part", F.lit(0).alias("turn"), F.col("owner").alias("doc"), "lines", F.lit(None).cast("array<boolean>").alias("worth"))
+    later = dealt.join(rows, "doc").select("owner", "part", F.lit(1).alias("turn"), "doc", "lines", "worth")
+    met = heads.unionAll(later).repartition("owner", "part").sortWithinPartitions("owner", "part", "turn").select("turn", "doc.key", "doc.same", "lines", "worth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earlier = Earlier([])
         for batch in batches:
-            gone = [common_blocks(a.as_py(), b.as_py(), w.as_py()) for a, b, w in zip(*batch.columns[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["key", "same", "gone"])
-
-    aligned = both.mapInArrow(run, "key long, same long, gone array<int>").where(F.size("gone") > 0).select(F.struct("key", "same").alias("doc"), F.explode("gone").alias("at"))
-    lone = found.where(~F.col("rare")).select("doc", "at")
-    return aligned.unionAll(lone).groupBy("doc").agg(F.collect_set("at").alias("gone"))
+            keys, sames, gone = [], [], []
+            for turn, key, same, x, worth in zip(*batch.columns, strict=True):
+                if turn.as_py() == 0:
+                    earlier = Earlier(x.as_py())
+                    continue
+                keys.append(key.as_py())
+                sames.append(same.as_py())
+                gone.append(common_blocks(x.as_py(), earlier, worth.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sames, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["key", "same", "gone"])
+
+    aligned = met.mapInArrow(run, "key long, same long, gone array<int>").where(F.size("gone") > 0)
+    return aligned.select(F.struct("key", "same").alias("doc"), F.explode("gone").alias("at")).groupBy("doc").agg(F.collect_set("at").alias("gone"))
 
 
 def _without(text: Column, gone: Column) -> Column:
