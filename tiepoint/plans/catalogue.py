@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions import classify, geometry, labels
-from tiepoint.operators import descriptors, matches, pairing, points, quantiles, ransac, raster, refine, summary, suppression, tiles
+from tiepoint.operators import descriptors, drawing, matches, pairing, points, quantiles, ransac, raster, refine, summary, suppression, tiles
 from tiepoint.plans import bridge
 from tiepoint.plans.bridge import HEIGHT, SHIFT, WIDTH, view
 
@@ -552,3 +552,25 @@ def failed_only_keys(spark, sf_dir):
 def pixel_digest(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select("vec_id", F.sha2(F.array_join(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string")), ","), 256).alias("pixel_sha256"))
+
+
+@query(f"""{_WITH('raster')}, p AS (SELECT product_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM raster WHERE valid GROUP BY 1),
+g AS (SELECT product_id, CASE WHEN valid THEN cast(trunc(least(greatest((v - lo) * 255 / (hi - lo), 0), 255)) AS int) ELSE 0 END AS g, (y + 0.5) * 40 / 64 - 0.5 AS py, (x + 0.5) * 40 / 64 - 0.5 AS px FROM raster JOIN p USING (product_id)),
+e AS (SELECT product_id, g, floor(py) + dy AS y, floor(px) + dx AS x, (1 - abs(py - floor(py) - dy)) * (1 - abs(px - floor(px) - dx)) AS w FROM g, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx))
+SELECT product_id, y::INT AS y, x::INT AS x, floor(round(sum(g * w) / sum(w), 9) + 0.5)::INT AS v FROM e WHERE w > 0 AND y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 39 GROUP BY ALL""")
+def preview_planes(spark, sf_dir):
+    """Previews of 40 pixels a side."""
+    return drawing.preview(view(spark, sf_dir, "raster"), 40).select("product_id", "y", "x", "v")
+
+
+@query(f"""{_WITH('corr')}, f AS (SELECT pair_id, round_even(source_x, 0)::INT AS x0, round_even(source_y, 0)::INT AS y0, round_even(reference_x, 0)::INT + 640 AS x1, round_even(reference_y, 0)::INT AS y1 FROM corr WHERE inlier QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY match_id) <= 300),
+s AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM f), t AS (SELECT *, unnest(range(0, n + 1)) AS t FROM s),
+d AS (SELECT pair_id, CASE WHEN n = 0 THEN y0 ELSE floor(y0 + (y1 - y0) * t / n + 0.5) END::INT AS y, CASE WHEN n = 0 THEN x0 ELSE floor(x0 + (x1 - x0) * t / n + 0.5) END::INT AS x FROM t
+UNION SELECT pair_id, (y + dy)::INT, (x + dx)::INT FROM (SELECT pair_id, x0 AS x, y0 AS y FROM f UNION ALL SELECT pair_id, x1, y1 FROM f), range(-3, 4) a(dy), range(-3, 4) b(dx) WHERE dy * dy + dx * dx > 6.25 AND dy * dy + dx * dx < 12.25)
+SELECT pair_id, floor(y / 64)::INT AS ty, floor(x / 64)::INT AS tx, count(*) AS pixels, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM d GROUP BY ALL""")
+def match_line_tiles(spark, sf_dir):
+    """What the lines of the first 300 inliers cover, by tile."""
+    c = view(spark, sf_dir, "corr")
+    drawn = drawing.match_marks(c, c.select("pair_id").distinct().withColumn("width", F.lit(640))).select("pair_id", "y", "x").distinct()
+    tile = lambda a: F.floor(F.col(a) / 64).cast("int").alias(f"t{a}")
+    return drawn.groupBy("pair_id", tile("y"), tile("x")).agg(F.count("*").alias("pixels"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
