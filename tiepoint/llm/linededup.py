@@ -155,7 +155,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owners = materialise(each.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("line", "owner"))
     pairs = materialise(each.join(owners, "line").where("owner < doc").select("doc", "owner").distinct())
     # an earlier document of many others gets several groups of them
-    many = pairs.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > group).select("owner", F.ceil(F.col("n") / group).cast("int").alias("parts"))
+    # written, so that the join with it can deal the pairs of one owner to several tasks
+    many = materialise(pairs.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > group).select("owner", F.ceil(F.col("n") / group).cast("int").alias("parts")))
     dealt = pairs.join(many, "owner", "left").select("owner", "doc", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).alias("part"))
     dealt = materialise(dealt)
     heads = dealt.select("owner", "part").distinct().join(rows.select(F.col("doc").alias("owner"), "lines"), "owner")
