@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, with its lineage cut and its size known.
+
+    A checkpoint keeps the size that was estimated for its plan, the product of all that was
+    joined; small results that are joined again and again are better written.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

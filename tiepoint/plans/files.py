@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiepoint.functions import classify
 from tiepoint.functions.session import shared_folder
 from tiepoint.operators import summary, tiles
-from tiepoint.plans import bridge
+from tiepoint.plans import bridge, inventory
 from tiepoint.plans.bridge import view
-from tiepoint.sources import archives, arrays, geotiff, images, tables
+from tiepoint.sources import archives, arrays, geotiff, images, sinks, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -219,3 +220,34 @@ def browse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     images.write_files(archives.zipped(both), folder, ".zip")
     return archives.browse_products(archives.members(spark, folder), "raw").select("member", "sensor_view", "product_id", "year", "acquisition_start")
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in sorted(names)) + ")"
+
+
+_SUFFIX = "lower(regexp_extract(member, '[^/](\\.[^./]+)$', 1))"
+_SENSOR = "CASE WHEN contains(archive, 'tmc_') THEN 'TMC-2' WHEN contains(archive, 'ohr') THEN 'OHRC' END"
+
+
+@query(f"""{_WITH('members')}, a AS (SELECT archive, archive NOT LIKE '%7.zip' AS valid, count(*) FILTER ({_SUFFIX} IN {_in(classify.SCIENCE_SUFFIXES)}) AS science, count(*) FILTER ({_SUFFIX} IN {_in(classify.QUICKLOOK_SUFFIXES)}) AS quick FROM members GROUP BY 1),
+o AS (SELECT {_SENSOR} AS sensor, count(*) FILTER (valid) AS archives, count(*) FILTER (valid AND science > 0) AS archives_with_science, sum(science) FILTER (valid) AS science_members, sum(quick) FILTER (valid) AS quicklook_members, count(*) FILTER (NOT valid) AS invalid_archives FROM a GROUP BY 1),
+d AS (SELECT CASE page_id % 4 WHEN 0 THEN 'OHRC' WHEN 2 THEN 'TMC-2' ELSE 'IIRS' END AS sensor, count(*) FILTER (page_id % 2 = 0) AS incomplete_downloads, count(*) FILTER (page_id % 4 = 1) AS staged_products, max((page_id % 4 = 3)::INT) AS extracted_products, sum(page_id % 3 + 1) FILTER (page_id % 4 = 1) AS staged_members FROM pages GROUP BY 1)
+SELECT s.sensor, {', '.join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ('archives', 'archives_with_science', 'science_members', 'quicklook_members', 'invalid_archives', 'incomplete_downloads', 'staged_products', 'extracted_products', 'staged_members'))}
+FROM (VALUES ('OHRC'), ('TMC-2'), ('IIRS')) s(sensor) LEFT JOIN o USING (sensor) LEFT JOIN d USING (sensor)""")
+def tree_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of archives (some broken), unfinished downloads, manifests and cubes, written and then counted from its files."""
+    folder = _folder(spark)
+    m = view(spark, sf_dir, "members")
+    broken = F.col("archive").endswith("7.zip")
+    images.write_files(archives.zipped(m.where(~broken).withColumn("content", F.lit("x").cast("binary"))), f"{folder}/raw", ".zip")
+    text = lambda v: v.cast("binary").alias("content")
+    sinks.write(m.where(broken).select(F.col("archive").alias("name"), text(F.lit("no archive"))).distinct(), f"{folder}/raw", ".zip")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("page_id").cast("string").alias("id"))
+    kind = F.col("page_id") % 4
+    sinks.write(pages.where("page_id % 2 = 0").select(F.concat(F.when(kind == 0, "ohrc_").otherwise("tmc_"), "id").alias("name"), text(F.lit("begun"))), f"{folder}/raw", ".part")
+    members = F.transform(F.sequence(F.lit(0), F.col("page_id") % 3), lambda i: F.struct(i.cast("string").alias("member"), F.lit(10).alias("bytes")))
+    manifest = F.to_json(F.struct(F.col("id").alias("archive"), members.alias("members")))
+    sinks.write(pages.where(kind == 1).select(F.concat(F.lit("p"), "id").alias("name"), text(manifest)), f"{folder}/data/IIRS/staged", "_manifest.json")
+    sinks.write(pages.where(kind == 3).select(F.concat(F.lit("c"), "id").alias("name"), text(F.lit("cube"))), f"{folder}/raw/IIRS/product/data/raw", ".qub")
+    return inventory.scan(spark, f"{folder}/raw", f"{folder}/data").drop("archive_bytes", "staged_bytes")

@@ -50,7 +50,7 @@ def members(spark: SparkSession, path: str, texts: str = r"(?i)\.xml$") -> DataF
     An archive of any size is opened where it lies: its directory is read, and the
     members that match ``texts``. A broken archive is one row with a problem.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path")
     types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
     names = ["archive", "member", "size", "encrypted", "mode", "text", "problem"]
 
