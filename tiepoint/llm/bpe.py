@@ -245,7 +245,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Null texts count as empty (no tokens); repeated rows are encoded again.
     ``path`` names the vocabulary file on every machine; a task remembers the encoding
-    of ``remembered`` words and learns them anew beyond, which changes no result.
+    of ``remembered`` words and learns them anew beyond, which changes no result. Texts
+    of any length are encoded whole, an empty table gives no rows, a null id stays null.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

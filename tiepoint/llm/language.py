@@ -169,7 +169,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows outside fold ``held``. ``und`` with score 0 for a null text or
     one without letters, and for all if nothing could be learned; a text of which no
     n-gram is known gets the most frequent language with score 0. The score is the
-    share of the text's n-grams that the language contains. Repeated rows count again.
+    share of the text's n-grams that the language contains. Repeated rows count again; of
+    languages that contain equally many the first by name is taken. An empty table gives no
+    rows; texts of any length are read whole.
     """
     model = train(docs.where(remainder(F.col(id_col), folds) != held), text_col, lang_col)
 

@@ -612,7 +612,8 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Scores every row by a model of the rows outside fold 0.
 
     A null text counts as empty: it has one token, its end. Repeated rows are counted
-    and scored again. Without training rows every word has the same probability.
+    and scored again. Without training rows every word has the same probability. A text
+    of any length is scored whole, an empty table gives no rows, a null id is like an empty one.
     """
     model = train(docs.where(remainder(F.col(id_col), folds) != 0), text_col)
     held = remainder(F.col("doc_id"), folds) == 0

@@ -164,7 +164,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresh
     """The rows of ``docs``, with their own columns, whose score is ``threshold`` or more.
 
     The texts stay where they are: the model is fitted first, then applied to each
-    batch of whole rows.
+    batch of whole rows. Null texts are judged as empty ones, repeated rows each by
+    itself; a label without id or value teaches nothing; without any labels all scores
+    are 0.5 and every row stays. An empty table stays empty; texts may be of any length.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(remainder(F.col("doc_id"), folds) != 0)
     model = fit(statistics(docs, "doc_id", text_col).join(known, "doc_id"))

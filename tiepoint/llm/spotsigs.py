@@ -90,7 +90,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     meet where they share one of their rarest signatures, of which two alike sets must
     share one; a pair is compared by Jaccard only if what is left of both sets there, in
     the order of rarity, can make them alike. Sets of a frequent chain and a tenth of
-    chains of their own so never meet at it.
+    chains of their own so never meet at it. Null texts are empty ones and all of one
+    class; repeated rows come out as often as they occur. A null id is no class's smallest; a
+    class of null ids alone has a null ``class_id``. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("sigs"))
     rows = materialise(rows.withColumn("fp", F.xxhash64("sigs")))
