@@ -22,12 +22,12 @@ SHINGLE = 5
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; null texts are judged as empty, repeated rows each by itself, and without labels all stay."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; later ones without the blocks that they share with earlier ones."""
+    """All documents; later ones (by id, null last) without the blocks that they share with earlier ones. Null texts stay null; what loses all its lines stays with an empty text."""
     return linededup.dedup_lines(docs)
 
 
@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, none more than three times. Null texts have no words; null sources are a source; of equal rows as many stay as the budget has room for."""
     mixed = mixing.mix(docs)
     own, copies = [F.col(quoted(c)) for c in docs.columns], F.col(quoted(mixed.columns[-1]))["copies"]
     taken = mixed.where(copies > 0).select(F.struct(*own).alias("row"), F.explode(F.sequence(F.lit(1), copies)))
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document's tokens, with their digest and that of the decoded text."""
+    """The ids of each document's tokens, with their digest and that of the decoded text; a null text is encoded as an empty one, repeated rows each by itself."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=40_000)
 
 
