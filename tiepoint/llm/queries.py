@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op9_mixing": mixing.mix_sql(), "op6_topk": topk.top_k_sql(), "op11_divergence": divergence.audit_sql(), "op12_prefix_trie": prefixtrie.nodes_sql()}
+    return {"op1_spotsigs": spotsigs.edited_likeness_sql(), "op9_mixing": mixing.mix_sql(), "op6_topk": topk.top_k_sql(), "op11_divergence": divergence.audit_sql(), "op12_prefix_trie": prefixtrie.nodes_sql(), "op13_secrets": secretscan.report_sql()}

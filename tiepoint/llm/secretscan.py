@@ -185,3 +185,38 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = of([k for k, *_ in PATTERNS])
     counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k, *_ in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def report_sql() -> str:
+    """The same rows in DuckDB's SQL: every window by itself. Texts must not hold the characters 1 and 2, which mark matches."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    quote = "[\"'']?"
+    patterns = {"assign": rf"(?:{words}){quote}\x20*[:=]\x20*{quote}([A-Za-z0-9+/_.=-]+)"} | {k: p for k, p, *_ in PATTERNS[1:]} | {c.name: f"[{c.alphabet}]{{{c.width},}}" for c in CLASSES}
+    kinds = list(patterns)
+    marked = " UNION ALL ".join(f"SELECT r, {i} AS ord, string_split(regexp_replace(text, '{p}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM d" for i, p in enumerate(patterns.values()))
+    classes = " UNION ALL ".join(f"SELECT {len(PATTERNS) + i} AS ord, {c.width} AS w, {c.bits} AS bits, {c.digits} AS digits, {c.uppers} AS uppers, {c.lowers} AS lowers, {c.letters} AS letters" for i, c in enumerate(CLASSES))
+    labels = rf"(?i)\b(?:{'|'.join(ALLOWED_LABELS)}){quote}\s*[:=-]?\s*{quote}$"
+    harmless = " OR ".join(f"contains(lower(substr(run, a + 1, b - a)), '{t}')" for t in ALLOWED_TEXTS)
+    only = lambda what: f"length(regexp_replace(win, '[^{what}]', '', 'g'))"
+    names = "CASE ord " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    marked AS ({marked}),
+    parts AS (SELECT r, ord, unnest(parts) AS part, generate_subscripts(parts, 1) AS nth FROM marked WHERE len(parts) > 1),
+    placed AS (SELECT r, ord, nth, split_part(part, chr(2), 1) AS run, sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY r, ord ORDER BY nth) - length(replace(part, chr(2), '')) AS start FROM parts),
+    found AS (SELECT * FROM placed WHERE nth > 1),
+    base AS (SELECT r, ord, start, start + length(run) AS stop FROM found WHERE ord BETWEEN 1 AND 2 OR ord = 0 AND length(regexp_extract(run, '{patterns["assign"]}', 1)) >= 8),
+    classes AS ({classes}),
+    wins AS (SELECT r, f.ord, start, run, i, substr(run, i::BIGINT + 1, w) AS win, c.* EXCLUDE (ord) FROM (SELECT *, unnest(range(0, length(run) - (CASE ord {' '.join(f"WHEN {len(PATTERNS) + n} THEN {c.width}" for n, c in enumerate(CLASSES))} END) + 1)) AS i FROM found WHERE ord >= {len(PATTERNS)}) f JOIN classes c ON c.ord = f.ord),
+    chars AS (SELECT r, ord, start, i, ch, count(*) AS n FROM (SELECT r, ord, start, i, unnest(string_split(win, '')) AS ch FROM wins) GROUP BY ALL),
+    sums AS (SELECT r, ord, start, i, sum(n * log2(n)) AS s FROM chars GROUP BY ALL),
+    good AS (SELECT r, ord, start, run, i, w FROM wins JOIN sums USING (r, ord, start, i) WHERE log2(w) - s / w >= bits - 1e-9 AND {only('0-9')} >= digits AND {only('A-Z')} >= uppers AND {only('a-z')} >= lowers AND {only('A-Za-z')} >= letters),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY r, ord, start ORDER BY i) AS island FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r, ord, start ORDER BY i) > w THEN 1 ELSE 0 END AS fresh FROM good)),
+    stretches AS (SELECT r, ord, start AS run_start, run, min(i) AS a, max(i) + w AS b FROM islands GROUP BY r, ord, start, run, w, island),
+    left_ AS (SELECT r, ord, run_start + a AS start, run_start + b AS stop FROM stretches JOIN d USING (r)
+        WHERE NOT regexp_full_match(run, '{ALLOWED_RUNS[0]}') AND NOT regexp_matches(substr(text, greatest(run_start - {BEFORE}, 0)::BIGINT + 1, least({BEFORE}, run_start)::BIGINT), '{labels}') AND NOT ({harmless})),
+    outer_ AS (SELECT * FROM left_ x WHERE NOT EXISTS (SELECT 1 FROM left_ y WHERE y.r = x.r AND y.start <= x.start AND y.stop >= x.stop AND (y.start < x.start OR y.stop > x.stop OR y.ord < x.ord))),
+    every AS (SELECT *, {names} || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM outer_)),
+    per AS (SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex, string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM every GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
