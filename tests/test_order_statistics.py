@@ -53,7 +53,7 @@ def scan(points, distance):
     return {k for k, *_ in stays}
 
 
-@pytest.mark.parametrize("wide", [2, 64])
+@pytest.mark.parametrize("wide", [8, 64])
 def test_kept_points_equal_a_sorted_scan(spark, wide):
     rng = np.random.default_rng(wide)
     sets = {
