@@ -13,13 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from tiepoint.operators import matches, raster
+from tiepoint.operators import matches, packing, raster
 from tiepoint.sources.images import MOST_PIXELS, encode_png
 
 #: Longest side and percentiles of a preview; colours (blue, green, red) of lines, grid and points; lines of the grid.
 MAX_SIDE, LOW, HIGH = 1600, 0.02, 0.98
 LINE, GRID, POINT, CELLS = (70, 220, 70), (120, 120, 120), (0, 220, 110), 8
+#: Side of the blocks that previews are worked out on.
+BLOCK = 512
 COLOURS = ("blue", "green", "red")
 
 
@@ -27,8 +31,8 @@ def shrunk(planes: DataFrame, max_side: int = MAX_SIDE, value: str = "v") -> Dat
     """Planes ``product_id, band, y, x, v`` with no side longer than ``max_side``; smaller ones as they are.
 
     A pixel of the small plane is the mean of those around its place, weighted by their
-    distance, which falls to nothing at one step of the small plane. Each pixel is sent to
-    the two places across and the two down that it counts for, and summed before the shuffle.
+    distance, which falls to nothing at one step of the small plane. Tasks pack pixels by
+    the block of the small plane that they count for, two where they lie between blocks.
     """
     sizes = planes.groupBy("product_id", "band").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     longest = F.greatest("h", "w")
@@ -37,11 +41,38 @@ def shrunk(planes: DataFrame, max_side: int = MAX_SIDE, value: str = "v") -> Dat
     rows = planes.join(sizes.select("product_id", "band", "h", "w", small("h").alias("nh"), small("w").alias("nw")), ["product_id", "band"])
     at = lambda c, n, m: (F.col(c) + 0.5) * F.col(m) / F.col(n) - 0.5
     rows = rows.select("product_id", "band", "nh", "nw", F.col(value).cast("double").alias("v"), at("y", "h", "nh").alias("py"), at("x", "w", "nw").alias("px"))
-    near = lambda c, out: F.explode(F.array(F.floor(c), F.floor(c) + 1)).alias(out)
-    sent = rows.select("*", near("py", "y")).select("*", near("px", "x")).where("y >= 0 and y < nh and x >= 0 and x < nw")
-    weight = (1 - F.abs(F.col("py") - F.col("y"))) * (1 - F.abs(F.col("px") - F.col("x")))
-    met = sent.withColumn("weight", weight).where("weight > 0").groupBy("product_id", "band", "y", "x").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
-    return met.select("product_id", "band", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+    rows = rows.where("v is not null")
+    near = lambda c: F.array_distinct(F.array(F.floor(F.floor(c) / BLOCK), F.floor((F.floor(c) + 1) / BLOCK)))
+    rows = rows.withColumn("by", F.explode(near("py"))).withColumn("bx", F.explode(near("px")))
+    block = ["product_id", "band", "nh", "nw", "by", "bx"]
+
+    def blend(table: pa.Table) -> pa.Table:
+        nh, nw, by, bx = (table.column(c)[0].as_py() for c in block[2:])
+        top, left = by * BLOCK, bx * BLOCK
+        high, wide = min(BLOCK, nh - top), min(BLOCK, nw - left)
+        if high <= 0 or wide <= 0 or top < 0 or left < 0:
+            return out.empty_table()
+        v, py, px = (packing.unpack(table, c, "f8") for c in ("v", "py", "px"))
+        total, weights = np.zeros(high * wide), np.zeros(high * wide)
+        for dy in (0, 1):
+            for dx in (0, 1):
+                y, x = np.floor(py) + dy, np.floor(px) + dx
+                w = (1 - np.abs(py - y)) * (1 - np.abs(px - x))
+                y, x = y.astype(np.int64) - top, x.astype(np.int64) - left
+                own = (w > 0) & (y >= 0) & (y < high) & (x >= 0) & (x < wide)
+                at = y[own] * wide + x[own]
+                total += np.bincount(at, v[own] * w[own], high * wide)
+                weights += np.bincount(at, w[own], high * wide)
+        at = np.flatnonzero(weights)
+        key = table.slice(0, 1).select(["product_id", "band"]).take(pa.array(np.zeros(len(at), np.int64)))
+        for name, values in (("y", at // wide + top), ("x", at % wide + left), ("v", total[at] / weights[at])):
+            key = key.append_column(name, pa.array(values))
+        return key.cast(out)
+
+    kinds = [f"{c} {planes.schema[c].dataType.simpleString()}" for c in ("product_id", "band")]
+    result = ", ".join([*kinds, "y int", "x int", "v double"])
+    out = to_arrow_schema(_parse_datatype_string(result))
+    return packing.packed(rows, block, {"v": "f8", "py": "f8", "px": "f8"}).groupBy(*block).applyInArrow(blend, result)
 
 
 def preview(pixels: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
