@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tiepoint.functions import classify
 from tiepoint.functions.session import shared_folder
-from tiepoint.operators import summary, tiles
+from tiepoint.operators import packing, summary, tiles
 from tiepoint.plans import bridge, inventory
 from tiepoint.plans.bridge import view
 from tiepoint.sources import archives, arrays, geotiff, images, sinks, tables
@@ -114,9 +114,17 @@ def _hex(values: Column, width: int) -> Column:
 def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same window of every labelled product of a folder."""
     folder = _folder(spark)
-    px = view(spark, sf_dir, "raster").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    _written(px, folder, ".bin", _hex(F.col("p.v"), 1))
-    _written(px, folder, ".xml", _label(F.col("product_id"), "UnsignedByte", {"Line": 64, "Sample": 64}, 9))
+    px = view(spark, sf_dir, "raster")
+
+    def plane(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        y, x, v = (packing.unpack(table, c, "i4") for c in "yxv")
+        return table.select(["product_id"]).slice(0, 1).append_column("content", pa.array([v[np.lexsort((x, y))].astype(np.uint8).tobytes()], pa.binary()))
+
+    held = packing.packed(px.select("product_id", "y", "x", F.col("v").cast("int").alias("v")), ["product_id"], {c: "i4" for c in "yxv"})
+    _written(held.groupBy("product_id").applyInArrow(plane, "product_id string, content binary"), folder, ".bin", F.col("content"))
+    _written(px.select("product_id").distinct(), folder, ".xml", _label(F.col("product_id"), "UnsignedByte", {"Line": 64, "Sample": 64}, 9))
     return arrays.read_window(spark, folder, (5, 7, 40, 30)).withColumn("product_id", _named(F.col("product_id"), ".xml"))
 
 
@@ -207,6 +215,10 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BROWSE = "concat('browse/ch2_tmc_nc', CASE event_type WHEN 'click' THEN 'f' WHEN 'view' THEN 'n' ELSE 'a' END, '_', strftime(ts, '%Y%m%d'), 'T', event_id, '_b_brw_d18.png')"
 
 
+#: Events whose browse images share their archives.
+EVENTS = 100_000
+
+
 @query(f"SELECT {_BROWSE} AS member, CASE event_type WHEN 'click' THEN 'f' WHEN 'view' THEN 'n' ELSE 'a' END AS sensor_view, concat('urn:', event_id) AS product_id, year(ts)::INT AS year, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS acquisition_start FROM events WHERE event_id % 7 <> 3")
 def browse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A browse image for each event, with a label for most of them; those without are left out by the catalogue."""
@@ -215,7 +227,8 @@ def browse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     stem = F.concat(F.lit("browse/ch2_tmc_nc"), kind, F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit("T"), F.col("event_id").cast("string"), F.lit("_b_brw_d18"))
     label = F.concat(F.lit("<p:P xmlns:p='u'><p:start_date_time>"), at, F.lit("Z</p:start_date_time><p:logical_identifier>urn:"), F.col("event_id").cast("string"), F.lit("</p:logical_identifier></p:P>"))
-    archive = F.concat(F.lit("set"), (F.col("user_id") % 20).cast("string")).alias("archive")
+    # an archive is made and listed by one task, so more events make more archives
+    archive = F.concat(F.lit("set"), (F.col("user_id") % 20).cast("string"), F.lit("_"), F.expr(f"event_id DIV {EVENTS}").cast("string")).alias("archive")
     both = e.select(archive, F.concat(stem, F.lit(".png")).alias("member"), F.lit("x").cast("binary").alias("content")).unionAll(e.where("event_id % 7 <> 3").select(archive, F.concat(stem, F.lit(".xml")), label.cast("binary")))
     folder = _folder(spark)
     images.write_files(archives.zipped(both), folder, ".zip")
