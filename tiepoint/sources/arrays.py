@@ -183,9 +183,9 @@ def pixels(found: DataFrame, window: tuple[int, int, int, int] | None = None, ba
     w, h = (F.lit(window[2]), F.lit(window[3])) if window else (F.col("samples"), F.col("lines"))
     inside = (x >= 0) & (y >= 0) & (w >= 1) & (h >= 1) & (x + w <= F.col("samples")) & (y + h <= F.col("lines"))
     fault = F.when(F.col("problem").isNotNull(), F.concat("product_id", F.lit(": "), "problem")).when(~inside, F.concat(F.lit("the window lies outside the image "), "product_id"))
-    checked = found.withColumn("samples", F.when(fault.isNull(), F.col("samples")).otherwise(F.raise_error(fault).cast("int")))
-    starts = F.sequence(y, y + h - 1, F.lit(lines_per_task))
-    ranges = checked.select("product_id", "binary", "layout", x.alias("x"), y.alias("y"), w.alias("w"), F.explode(starts).alias("first"), (y + h).alias("end"))
+    # in what is read, as a check in a column that nothing reads is never made
+    starts = F.when(fault.isNull(), F.sequence(y, y + h - 1, F.lit(lines_per_task))).otherwise(F.raise_error(fault).cast("array<int>"))
+    ranges = found.select("product_id", "binary", "layout", x.alias("x"), y.alias("y"), w.alias("w"), F.explode(starts).alias("first"), (y + h).alias("end"))
     ranges = ranges.repartition("product_id", "first")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
