@@ -58,6 +58,21 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
     assert [r["vec_id"] for r in topk.top_k(df(rows[10:12]), F.col("vec_id") == 10).collect()] == [11]
 
 
+def test_top_k_sends_no_pairs_of_blocks_and_packs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6)) * 0.3
+    x[100:] = x[:100]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    want = brute_top_k(rows, lambda i: i % 2 == 0)
+    for name, value in (("BLOCK", 4), ("PACK", 2), ("CELLS", 8), ("MOST_TASKS", 5)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # 50 blocks and 50 packs: no join that Spark could broadcast by the size before an explode, and no task for each of 2 500 pairs
+    assert "Join" not in plan and max(int(n) for n in re.findall(r"RepartitionByExpression \[[^]]*\], (\d+)", plan)) <= 5
+    assert sorted((tuple(r) for r in found.collect()), key=str) == want
+
+
 def test_search_reads_less_than_all_and_is_exact():
     rng = np.random.default_rng(3)
     rows = np.floor(rng.normal(size=(5000, 24)) * 60)

@@ -11,12 +11,15 @@ What a row's sum can still change by is at most the product of the two lengths t
 left (Cauchy and Schwarz), and the rows that lead are scored exactly at each look. A
 query stops in a block when that proves all rows but a part of them not to be among its
 best; those rows are scored exactly.
+
+A task takes a cell: some blocks and some packs of queries. Blocks go to the cells of
+their row and queries to those of their column, so pairs of a block and a pack are not
+dealt, and there are no more tasks than MOST_TASKS. In a cell a query goes from block to
+block, and what it has found bounds what it looks for in the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,6 +42,10 @@ LEFT, LEFT_K = 0.4, 16
 #: So many times k rows that lead are scored at each look.
 LEADERS = 4
 SCALE = 256
+#: A table that is large enough is cut into about so many cells, of bounded bytes of blocks and of queries.
+CELLS, CELL_BLOCKS, CELL_QUERIES = 128, 64 << 20, 32 << 20
+#: Beyond, a task takes several cells, one after another.
+MOST_TASKS = 4096
 
 
 def _padded(rows: list[list[float]]) -> np.ndarray:
@@ -92,8 +99,8 @@ class Block:
     def order_of(rows: np.ndarray) -> np.ndarray:
         return np.argsort(rows.T, axis=1, kind="stable")
 
-    def possible(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Rows, other than ``own``, of which the k best ones for the query are proven to be part."""
+    def possible(self, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> np.ndarray:
+        """Rows, other than ``own``, of which the k best ones for the query that score ``least`` or more are proven to be part."""
         n = len(self.rows)
         everything = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
         if n <= LEFT_K * k or not self.rows.shape[1]:
@@ -127,14 +134,14 @@ class Block:
             # the k-th best score is at least that of the k-th best among the rows that lead
             leaders = np.argpartition(bound, n - LEADERS * k)[n - LEADERS * k :]
             kth = np.sort(self.rows[leaders] @ query)[(LEADERS - 1) * k]
-            left = bound >= kth - error
+            left = bound >= max(kth, least) - error
             if np.count_nonzero(left) <= max(LEFT * n, LEFT_K * k):
                 return np.nonzero(left)[0]
         return everything
 
-    def search(self, keys: np.ndarray, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """``(score, position)`` of the k best rows; ``keys`` are ranks that settle ties."""
-        at = self.possible(query, own, k)
+    def search(self, keys: np.ndarray, own: int, query: np.ndarray, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
+        """``(score, position)`` of the k best rows that score ``least`` or more, and perhaps others; ``keys`` are ranks that settle ties."""
+        at = self.possible(query, own, k, least)
         found = exactly(self.rows[at], query)
         if len(at) > k:
             best = found >= np.sort(found)[-k]
@@ -142,18 +149,71 @@ class Block:
         return sorted(zip(found.tolist(), at.tolist(), strict=True), key=lambda x: (-x[0], keys[x[1]]))[:k]
 
 
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them all."""
+    most = float(np.abs(whole).max(initial=0))
+    return whole.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
+
 def _gather(rows: DataFrame, blocks: int, name: str, index: bool) -> DataFrame:
     """The rows of a block as one row of bytes, with the index where asked for."""
 
     def gather(table: pa.Table) -> pa.Table:
         found = _padded(table.column("v").to_pylist())
-        data = {name: pa.array([table.column(name)[0].as_py()], pa.int32()), "rows": pa.array([table.column("row").to_pylist()], pa.list_(pa.int64())), "ids": pa.array([table.column("vec_id").to_pylist()], pa.list_(pa.int64())), "dims": pa.array([found.shape[1]], pa.int32()), "data": pa.array([found.tobytes()], pa.binary())}
+        small = _narrow(found)
+        data = {name: pa.array([table.column(name)[0].as_py()], pa.int32()), "rows": pa.array([table.column("row").to_pylist()], pa.list_(pa.int64())), "ids": pa.array([table.column("vec_id").to_pylist()], pa.list_(pa.int64())), "dims": pa.array([found.shape[1]], pa.int32()), "kind": pa.array([small.dtype.str]), "data": pa.array([small.tobytes()], pa.binary())}
         if index:
-            data["lists"] = pa.array([Block.order_of(found).astype(np.int32).tobytes()], pa.binary())
+            data["lists"] = pa.array([Block.order_of(found).astype(_places(len(found))).tobytes()], pa.binary())
         return pa.table(data)
 
     keyed = rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy(name).applyInArrow(gather, f"{name} int, rows array<long>, ids array<long>, dims int, data binary" + ", lists binary" * index)
+    return keyed.groupBy(name).applyInArrow(gather, f"{name} int, rows array<long>, ids array<long>, dims int, kind string, data binary" + ", lists binary" * index)
+
+
+def _places(n: int) -> type:
+    """The type of places among n rows."""
+    return np.uint16 if n <= 2**16 else np.int32
+
+
+def _cells(blocks: int, packs: int, dims: int) -> tuple[int, int]:
+    """Rows and columns of cells: about CELLS of them, or as many as keep a cell within its bytes."""
+    by_row = min(-(-blocks // CELLS), max(1, CELL_BLOCKS // (BLOCK * max(1, dims) * 10)))
+    down = -(-blocks // by_row)
+    by_column = min(-(-packs * down // CELLS), max(1, CELL_QUERIES // (PACK * max(1, dims) * 8)))
+    return down, -(-packs // by_column)
+
+
+def _matrix(r: dict) -> np.ndarray:
+    return np.frombuffer(r["data"], r["kind"]).reshape(len(r["rows"]), r["dims"])
+
+
+def _least(best: list[tuple], k: int) -> float:
+    """What a row must score to be among the k best."""
+    return float(max(-(10**300), min(10**300, -best[k - 1][0]))) if len(best) == k else -np.inf
+
+
+def _searched(blocks: pa.Table, packs: pa.Table, k: int) -> pa.Table:
+    """The k best rows of a cell's blocks for each query of its packs."""
+    queries = [{n: packs.column(n)[i].as_py() for n in ("rows", "ids", "dims", "kind", "data")} for i in range(packs.num_rows)]
+    best: list[list[list[tuple]]] = [[[] for _ in q["rows"]] for q in queries]
+    for i in range(blocks.num_rows if queries else 0):
+        r = {n: blocks.column(n)[i].as_py() for n in ("rows", "ids", "dims", "kind", "data", "lists")}
+        x = _matrix(r).astype(np.float64)
+        lists = np.frombuffer(r["lists"], _places(len(x))).reshape(x.shape[::-1])
+        place = {row: at for at, row in enumerate(r["rows"])}
+        keys = [(y is None, y or 0, row) for y, row in zip(r["ids"], r["rows"], strict=True)]
+        block = None
+        for q, found in zip(queries, best, strict=True):
+            # a component beyond the other side's width meets zeros
+            d = min(r["dims"], q["dims"])
+            if block is None or block.rows.shape[1] != d:
+                block = Block(np.ascontiguousarray(x[:, :d]), lists[:d])
+            for n, (row, query) in enumerate(zip(q["rows"], _matrix(q)[:, :d].astype(np.float64), strict=True)):
+                new = block.search(keys, place.get(row, -1), query, k, _least(found[n], k))
+                found[n] = sorted([*found[n], *((-score, keys[at], r["ids"][at]) for score, at in new)])[:k]
+    out = [(row, vec_id, key[2], found_id, max(-(1 << 63), min((1 << 63) - 1, -score)), sortable(-score)) for q, found in zip(queries, best, strict=True) for row, vec_id, b in zip(q["rows"], q["ids"], found, strict=True) for score, key, found_id in b]
+    cols = list(zip(*out, strict=True)) or [()] * 6
+    return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["query_row", "query_id", "row", "vec_id", "score", "key"])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -171,34 +231,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(SCALE * x) == F.lit(float("inf"))))
     rows = materialise(named.where(F.col("v").isNotNull() & ~bad).withColumn("row", F.monotonically_increasing_id()))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("dims")).first()
     blocks, packs = max(LEAST_BLOCKS, -(-counts["n"] // BLOCK)), max(1, -(-counts["q"] // PACK))
-    indexed = _gather(rows.select("row", "vec_id", "v"), blocks, "block", True)
-    asked = _gather(rows.where("asks").select("row", "vec_id", "v"), packs, "pack", False).select("pack", F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("data").alias("query_data"))
-    # a pack of queries visits every block: the blocks' numbers are a range, so this is an equi-join
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                x = np.frombuffer(r["data"]).reshape(len(r["rows"]), r["dims"])
-                q = np.frombuffer(r["query_data"]).reshape(len(r["query_rows"]), r["query_dims"])
-                lists = np.frombuffer(r["lists"], np.int32).reshape(x.shape[::-1])
-                # a component beyond the other side's width meets zeros
-                d = min(x.shape[1], q.shape[1])
-                block = Block(np.ascontiguousarray(x[:, :d]), lists[:d])
-                place = {row: at for at, row in enumerate(r["rows"])}
-                keys = [(y is None, y or 0, row) for y, row in zip(r["ids"], r["rows"], strict=True)]
-                out: list[tuple] = []
-                for row, vec_id, query in zip(r["query_rows"], r["query_ids"], q[:, :d], strict=True):
-                    for score, at in block.search(keys, place.get(row, -1), query, k):
-                        out.append((row, vec_id, r["rows"][at], r["ids"][at], max(-(1 << 63), min((1 << 63) - 1, score)), sortable(score)))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["query_row", "query_id", "row", "vec_id", "score", "key"])
-
-    pairs = indexed.join(asked, "block").repartition(blocks * packs, "block", "pack")
-    found = pairs.drop("block", "pack").mapInArrow(search, "query_row long, query_id long, row long, vec_id long, score long, key binary")
+    down, across = _cells(blocks, packs, counts["dims"] or 0)
+    # a block goes to all cells of its row and a pack to all of its column, of which there are few; neither side of a cogroup is broadcast
+    placed = lambda df, row, column: df.withColumn("cell", (row * across + column).cast("int")).repartition(min(down * across, MOST_TASKS), "cell").groupBy("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    indexed = _gather(rows.select("row", "vec_id", "v"), blocks, "block", True).withColumn("column", every(across))
+    asked = _gather(rows.where("asks").select("row", "vec_id", "v"), packs, "pack", False).withColumn("place", every(down))
+    met = placed(indexed, F.col("block") % down, F.col("column")).cogroup(placed(asked, F.col("place"), F.col("pack") % across))
+    found = met.applyInArrow(lambda x, y: _searched(x, y, k), "query_row long, query_id long, row long, vec_id long, score long, key binary")
     best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("key"), F.asc_nulls_last("vec_id"), "row"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
