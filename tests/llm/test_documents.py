@@ -89,6 +89,18 @@ def test_segment_tables_connect_all_that_is_close(spark, busy):
     assert components(len(fps), lambda i, j: (j, i) in got) == components(len(fps), near)
 
 
+def test_no_exploded_fingerprints_are_broadcast(spark):
+    # grouped, so that Spark knows the size before the explode, which is small enough
+    found = simhash.links(spark.range(5000).select(F.xxhash64("id").alias("fp")).distinct())
+    assert found.count() == 0
+    found.collect()
+    depth = None
+    for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = at if "BroadcastExchange" in line else None if depth is not None and at <= depth else depth
+        assert depth is None or "Generate" not in line
+
+
 def brute_mix(rows):
     size = [len((t or "").encode().split()) for _, _, t in rows]
     sums = defaultdict(int)

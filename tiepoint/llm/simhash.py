@@ -89,7 +89,8 @@ def _met(entries: DataFrame, wanted: DataFrame, first: bool, busy: int) -> DataF
     known = entries.join(crowded, "value", "left")
     listed = known.where("crowded is null").groupBy("value").agg(F.collect_list("fp").alias("members"))  # busy of them at most
     values = listed.unionAll(crowded.select("value", F.lit(None).cast("array<bigint>")))
-    met = wanted.join(values, "value")
+    # Spark takes exploded rows for as few as there were before, and would broadcast 33 times what it thinks
+    met = wanted.hint("merge").join(values, "value")
     found = met.where("members is not null").select(F.col("fp").alias("a"), F.explode("members").alias("b"))
 
     visits = met.where("members is null").select("value", rest.alias("rest"), "fp")
